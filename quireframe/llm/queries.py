@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireframe.llm import frequency, heavy, plain
+from quireframe.llm import frequency, heavy, leaks, plain
 from quireframe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,7 +49,11 @@ def p6_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frequencies(spark, sf_dir).select("ttype", F.col("occurrences"), F.col("records").alias("books"), F.coalesce("mark", F.lit("kept")).alias("mark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_counts, p5_found, p5_contents, p6_found, p6_frequencies)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_item"), "doc_id", "text", "item_id", "text")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_counts, p5_found, p5_contents, p6_found, p6_frequencies, p8_found)}
 
 _P3 = f"""
 WITH c AS (SELECT ttype, count(*) AS n FROM token WHERE ttype IS NOT NULL GROUP BY ttype)
