@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireframe.llm import frequency, heavy, leaks, plain
+from quireframe.llm import frequency, heavy, leaks, plain, sentences
 from quireframe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 SHARE = 0.0025
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "book"), "book_id", "content").select("book_id", "s_start", "s_end")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavy.heavy_hitters(table(spark, sf_dir, "token"), "ttype", SHARE).select("ttype")
 
@@ -53,7 +57,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_item"), "doc_id", "text", "item_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_counts, p5_found, p5_contents, p6_found, p6_frequencies, p8_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_counts, p5_found, p5_contents, p6_found, p6_frequencies, p8_found)}
 
 _P3 = f"""
 WITH c AS (SELECT ttype, count(*) AS n FROM token WHERE ttype IS NOT NULL GROUP BY ttype)
