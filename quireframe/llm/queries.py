@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireframe.llm import frequency, heavy, leaks, plain, sentences
+from quireframe.llm import frequency, heavy, leaks, plain, residue, sentences
 from quireframe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +57,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_item"), "doc_id", "text", "item_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_counts, p5_found, p5_contents, p6_found, p6_frequencies, p8_found)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents"), "doc_id", "text", host="source").select("doc_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_counts, p5_found, p5_contents, p6_found, p6_frequencies, p8_found, p9_found)}
 
 _P3 = f"""
 WITH c AS (SELECT ttype, count(*) AS n FROM token WHERE ttype IS NOT NULL GROUP BY ttype)
