@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireframe.llm import frequency, heavy, leaks, plain, residue, sentences
+from quireframe.llm import frequency, heavy, leaks, packing, plain, residue, sentences
 from quireframe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,25 @@ def p6_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frequencies(spark, sf_dir).select("ttype", F.col("occurrences"), F.col("records").alias("books"), F.coalesce("mark", F.lit("kept")).alias("mark"))
 
 
+#: Tokens a container holds.
+CONTAINER = 4096
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n_tokens"))
+    return packing.pack(sizes, "doc_id", "n_tokens", CONTAINER)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir).where("piece = 1").select("doc_id").distinct()
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of all documents are: containers, those that need be at least, and tokens."""
+    per = _packed(spark, sf_dir).groupBy("container").agg(F.sum("size").alias("n"))
+    return per.agg(F.count(F.lit(1)).alias("containers"), F.ceil(F.sum("n") / CONTAINER).alias("at_least"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_item"), "doc_id", "text", "item_id", "text")
 
@@ -61,7 +80,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents"), "doc_id", "text", host="source").select("doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_counts, p5_found, p5_contents, p6_found, p6_frequencies, p8_found, p9_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_counts, p5_found, p5_contents, p6_found, p6_frequencies, p7_found, p7_containers, p8_found, p9_found)}
 
 _P3 = f"""
 WITH c AS (SELECT ttype, count(*) AS n FROM token WHERE ttype IS NOT NULL GROUP BY ttype)
@@ -76,6 +95,7 @@ m AS (SELECT ttype, occurrences, books,
 SELECT %s FROM m
 """
 SQL: dict[str, str] = {
+    "p7_found": f"SELECT doc_id FROM documents WHERE strlen(text) > {CONTAINER}",
     "p3_found": _P3 % "",
     "p3_counts": _P3 % ", n",
     "p6_found": _P6 % "ttype, mark" + " WHERE mark <> 'kept'",
