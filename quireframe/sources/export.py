@@ -33,8 +33,8 @@ def write_regions(rows: DataFrame, path: str) -> None:
 
 
 def write_texts(book: DataFrame, path: str) -> None:
-    """Contents as text, a directory for each book."""
-    book.where("content is not null").select("name", F.col("content").alias("value")).repartition("name").write.mode("overwrite").partitionBy("name").option("lineSep", "").text(path)
+    """Contents as text that ends with a line end, a directory for each book."""
+    book.where("content is not null").select("name", F.regexp_replace("content", "\n\\z", "").alias("value")).repartition("name").write.mode("overwrite").partitionBy("name").text(path)
 
 
 def result_csv(df: DataFrame, path: str, version: str, url: str) -> None:
