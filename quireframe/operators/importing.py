@@ -37,8 +37,8 @@ def save(tables: dict[str, DataFrame], path: str) -> None:
     touched = books.select(bucket.alias("bucket")).distinct()
     for name, df in tables.items():
         rows, target = df.withColumn("bucket", bucket), f"{path}/{name}"
-        if _exists(spark, target):
-            old = spark.read.parquet(target).join(F.broadcast(touched), "bucket", "left_semi").join(books, "book_id", "left_anti")
+        if _filled(spark, target):
+            old = spark.read.schema(rows.schema).parquet(target).join(F.broadcast(touched), "bucket", "left_semi").join(books, "book_id", "left_anti")
             rows = cut(rows.unionByName(old, allowMissingColumns=True))
             kept = {r["bucket"] for r in rows.select("bucket").distinct().collect()}  # at most BUCKETS
             for b in {r["bucket"] for r in touched.collect()} - kept:  # an overwrite leaves a bucket without rows as it was
@@ -47,7 +47,8 @@ def save(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}").drop("bucket") for name in TABLES if _exists(spark, f"{path}/{name}")}
+    """The store's tables by name; one without any rows so far is missing."""
+    return {name: spark.read.parquet(f"{path}/{name}").drop("bucket") for name in TABLES if _filled(spark, f"{path}/{name}")}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -55,6 +56,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _filled(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket=*")
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -13,7 +13,7 @@ from quireframe.sources.books import id_of, stem
 
 def follow(spark: SparkSession, folder: str, store: str, checkpoint: str, suppress: frozenset[str] = ENGLISH, once: bool = False) -> StreamingQuery:
     """Imports each new file of ``folder`` into ``store``; a batch that runs again replaces its own books."""
-    rows = spark.readStream.option("wholetext", True).text(folder)
+    rows = spark.readStream.text(folder, wholetext=True)
     books = rows.select(F.url_decode(stem(F.col("_metadata.file_path"))).alias("name"), F.col("value").alias("content")).select(id_of(F.col("name")).alias("book_id"), "name", "content")
 
     def take(batch: DataFrame, _: int) -> None:
