@@ -88,12 +88,16 @@ def _lines(patterns: list[str], repeated: bool = False) -> str:
 
 
 DETECTORS = {
-    "slot": f"(?<![\"“‘'`«])(?:{_any(SLOTS)})(?![\"”’'`»])",
-    "filler": _lines(FILLER, repeated=True) + f"|(?<![\\p{{L}}])(?:(?:{LATIN})\\p{{L}}{{0,8}}[\\s,.;]+){{5}}|\\A[\\s._*=~-]{{12,}}\\z(?<=[._*=~-]\\s{{0,40}})",
+    "slot": f"(?=[{{$#<&@_%\\[])(?<![\"“‘'`«])(?:{_any(SLOTS)})(?![\"”’'`»])",
+    "filler": _lines(FILLER, repeated=True),
     "error": _lines(ERRORS, repeated=True),
     "stand_in": _lines(STAND_IN),
     "notice": _lines(NOTICES, repeated=True),
 }
+#: Five words of pseudo-Latin one after another, where the text has one of the usual ones; and texts of leaders alone.
+USUAL_LATIN = ["ipsum", "lorem", "dolor", "amet", "consec", "velit", "tempor", "aliqu"]
+LATIN_RUN = f"(?<![\\p{{L}}])(?=[a-v])(?:(?:{LATIN})\\p{{L}}{{0,8}}[\\s,.;]+){{5}}"
+LEADERS = "\\A[\\s._*=~-]{12,}\\z(?<=[._*=~-]\\s{0,40})"
 #: Soft terms of error pages, for responses that only the evidence of several hosts shows.
 SOFT = f"{_REASON}|{_LOST}|error|denied|blocked|expired|unavailable|not available|no longer|try again|sign in|log in|captcha|are you (?:a )?(?:human|robot)|javascript|cookies"
 
@@ -109,7 +113,9 @@ def residue(df: DataFrame, doc: str, text: str, host: str | None = None, address
     low = F.regexp_replace(F.lower(F.col(text)), "[\\x{a0}\\x{202f}\\x{3000}\\r]", " ")
     nothing = F.lit(None).cast("string")
     rows = df.where(F.col(text).isNotNull()).select(F.col(doc).alias("d"), F.explode(F.array(low)).alias("t"), (F.col(host) if host else nothing).alias("h"), (F.lower(F.col(address)) if address else nothing).alias("a"))
-    found = rows.select("d", F.array_compact(F.array(*(F.when(F.col("t").rlike(p), n) for n, p in DETECTORS.items()))).alias("reasons")).where(F.size("reasons") > 0)
+    tests = {n: F.col("t").rlike(p) for n, p in DETECTORS.items()}
+    tests["filler"] = tests["filler"] | F.col("t").rlike(LEADERS) | (reduce(lambda a, b: a | b, [F.col("t").contains(w) for w in USUAL_LATIN]) & F.col("t").rlike(LATIN_RUN))
+    found = rows.select("d", F.array_compact(F.array(*(F.when(test, n) for n, test in tests.items()))).alias("reasons")).where(F.size("reasons") > 0)
 
     short = rows.where((F.length("t") <= most_letters) & F.col("t").rlike(SOFT))
     slug = F.array_remove(F.split(F.regexp_replace(F.coalesce("a", F.lit("")), "[^\\p{L}\\p{N}]+", " "), " "), "")
