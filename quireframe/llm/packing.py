@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireframe.session import cut
+from quireframe.session import cut, parallelism
 
 _SOLVED = "block long, island int, fitness double, id array<long>, piece array<int>, size array<int>, bin array<int>"
 
@@ -120,11 +120,14 @@ def pack(df: DataFrame, item: str, size: str, capacity: int, block: int = 2500,
         best = evolve(s, capacity, [np.array(b, dtype=np.int64) for b in pdf["bin"]], generations, np.random.default_rng([seed, int(key[0]), int(key[1]), 1]))[0]
         return pd.DataFrame({"block": [key[0]], "island": [key[1]], "fitness": [fitness(best, s, capacity)], "id": [first["id"]], "piece": [first["piece"]], "size": [first["size"]], "bin": [best.tolist()]})
 
-    solved = small.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).groupBy("block", "island").applyInPandas(begin, _SOLVED)
+    # Blocks are few rows but much work: their number, not their bytes, decides how many tasks they are spread over.
+    groups = blocks * islands
+    tasks = max(min(groups, parallelism(df.sparkSession)), groups // 256)
+    solved = small.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).repartition(tasks, "block", "island").groupBy("block", "island").applyInPandas(begin, _SOLVED)
     for _ in range(epochs - 1):
         # each elite stays and goes to the next island
         met = solved.withColumnRenamed("island", "origin").withColumn("island", F.explode(F.array_distinct(F.array("origin", (F.col("origin") + 1) % islands))))
-        solved = met.groupBy("block", "island").applyInPandas(go_on, _SOLVED)
+        solved = met.repartition(tasks, "block", "island").groupBy("block", "island").applyInPandas(go_on, _SOLVED)
     best = solved.groupBy("block").agg(F.max_by(F.struct("id", "piece", "size", "bin"), F.struct("fitness", -F.col("island"))).alias("s"))
     placed = best.select("block", F.explode(F.arrays_zip("s.id", "s.piece", "s.size", "s.bin")).alias("x")).select(F.col("x.id").alias("id"), F.col("x.piece").alias("piece"), F.col("x.size").alias("size"), F.concat_ws("-", F.lit("shared"), "block", "x.bin").alias("container"))
     full = pieces.where(whole).select("id", "piece", "size", F.concat_ws("-", F.lit("own"), "id", "piece").alias("container"))
