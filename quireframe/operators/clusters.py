@@ -15,17 +15,18 @@ def ngrams(tok: DataFrame, rclass: int | None, n: int = 1) -> DataFrame:
     """``book_id, ordering, ngram`` for every run of ``n`` tokens of the class that are adjacent in the whole text.
 
     Tokens outside the class leave holes, so that nothing straddles a heading or, within speech, narration. A run
-    with a token without type is none. ``ordering`` is that of the run's first token.
+    with a token without type is none. ``ordering`` is that of the run's first token. Repeated rows count once.
     """
     if n < 1:
         raise UserError("A cluster has at least one token")
-    rows = tok.select("book_id", "ordering", "ttype", "part_of")
-    rows = (rows if rclass is None else rows.where(in_class(rclass))).select("book_id", "ordering", "ttype")
+    rows = (tok if rclass is None else tok.where(in_class(rclass))).select("book_id", "ordering", "ttype")
     if n == 1:
-        return rows.where("ttype is not null").withColumnRenamed("ttype", "ngram")
+        return rows.where("ttype is not null").distinct().withColumnRenamed("ttype", "ngram")
     w = Window.partitionBy("book_id", "blk").orderBy("ordering")
     words = [F.col("ttype"), *(F.lead("ttype", i).over(w) for i in range(1, n))]
-    runs = blocked(rows, "ordering", 0, n - 1).select("book_id", "ordering", "own", F.lead("ordering", n - 1).over(w).alias("last"), F.array(*words).alias("words"))
+    # one exchange by book and block serves the removal of copies and the window
+    own = blocked(rows, "ordering", 0, n - 1).repartition("book_id", "blk").dropDuplicates(["book_id", "blk", "ordering"])
+    runs = own.select("book_id", "ordering", "own", F.lead("ordering", n - 1).over(w).alias("last"), F.array(*words).alias("words"))
     return runs.where(F.col("own") & (F.col("last") - F.col("ordering") == n - 1) & ~F.exists("words", lambda x: x.isNull())).select("book_id", "ordering", F.array_join("words", " ").alias("ngram"))
 
 

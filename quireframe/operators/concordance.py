@@ -13,6 +13,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from quireframe.errors import UserError
 from quireframe.functions.tokenise import anchor, parse_query
 from quireframe.operators.store import in_class, value_of
+from quireframe.session import cut
+
+#: Rows of hits with their places up to which they are sent to all tasks instead of shuffling the tokens.
+SENT = 500_000
 
 WINDOW = StructType([StructField("parts", ArrayType(StringType())), StructField("words", ArrayType(IntegerType()))])
 WINDOWS = StructType([StructField(n, WINDOW) for n in ("left", "node", "right")])
@@ -25,19 +29,22 @@ def matches(tok: DataFrame, patterns: Sequence[str], rclass: int, context: int =
     ttype, tok_start, tok_end), ``chapter, paragraph, sentence`` (-1 where there is none, from the anchor token).
     Boundaries of regions between node tokens don't matter; context is of any class and ends with the book.
 
-    The anchor, the pattern with the fewest hits to expect, is looked up first. Only its hits ask for their
-    neighbours, by (book_id, ordering), so the token table is joined once and never windowed as a whole.
+    Repeated rows count once. The anchor, the pattern with the fewest hits to expect, is looked up first and its hits
+    are kept. Only they ask for their neighbours, by (book_id, ordering): up to ``SENT`` places asked for are sent to
+    all tasks, so that the token table is only scanned; more are joined by shuffling both sides.
     """
     if not patterns:
         raise UserError("The query has no words")
     k, i = len(patterns), anchor(list(patterns))
     own = in_class(rclass)
-    hits = tok.where(F.col("ttype").like(patterns[i]) & own).select("book_id", F.col("ordering").alias("at"), value_of(301).alias("chapter"), value_of(401).alias("paragraph"), value_of(402).alias("sentence"))
+    hits = tok.where(F.col("ttype").like(patterns[i]) & own).select("book_id", F.col("ordering").alias("at"), value_of(301).alias("chapter"), value_of(401).alias("paragraph"), value_of(402).alias("sentence")).distinct()
+    hits = cut(hits)
+    few = hits.count() * (k + 2 * context) <= SENT
     asked = hits.withColumn("off", F.explode(F.sequence(F.lit(-i - context), F.lit(k - 1 - i + context)))).withColumn("need", F.col("at") + F.col("off")).withColumnRenamed("book_id", "b")
     rows = tok.select("book_id", "ordering", "ttype", "tok_start", "tok_end", own.alias("inside"))
-    found = asked.join(rows, (F.col("b") == F.col("book_id")) & (F.col("need") == F.col("ordering")))
+    found = (F.broadcast(asked) if few else asked).join(rows, (F.col("b") == F.col("book_id")) & (F.col("need") == F.col("ordering")))
     token = F.struct("ttype", "tok_start", "tok_end")
-    each = F.array_sort(F.collect_list(F.struct((F.col("off") + i).alias("o"), token.alias("t"), "inside")))
+    each = F.array_sort(F.collect_set(F.struct((F.col("off") + i).alias("o"), token.alias("t"), "inside")))
     lines = found.groupBy("book_id", "at", "chapter", "paragraph", "sentence").agg(each.alias("all"))
     lines = lines.withColumn("mid", F.filter("all", lambda x: (x["o"] >= 0) & (x["o"] < k)))
     fits = F.size("mid") == k

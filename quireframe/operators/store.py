@@ -71,9 +71,9 @@ def with_part_of(tok: DataFrame, reg: DataFrame) -> DataFrame:
 
 
 def word_counts(tok: DataFrame, reg: DataFrame, classes: list[int] | None = None) -> DataFrame:
-    """``word_count`` per region: the tokens with a type that it holds, 0 where there is none."""
+    """``word_count`` per region: the tokens with a type that it holds, 0 where there is none; repeated tokens count once."""
     rows = reg.where(F.col("rclass_id").isin(classes)) if classes else reg
-    inner = tok.where(F.col("ttype").isNotNull()).select("book_id", "tok_start", "tok_end")
+    inner = tok.where(F.col("ttype").isNotNull()).select("book_id", "tok_start", "tok_end").distinct()
     held = contained(inner, rows.select("book_id", "rclass_id", "r_start", "r_end"), ("tok_start", "tok_end"), ("r_start", "r_end"))
     counted = held.groupBy("book_id", "rclass_id", "r_start", "r_end").agg(F.count(F.lit(1)).alias("word_count"))
     keys = ["book_id", "rclass_id", "r_start", "r_end"]

@@ -14,7 +14,7 @@ from quireframe.operators.store import BIN, in_class, value_of
 def listing(tok: DataFrame, reg: DataFrame, rclasses: Sequence[int], context: int = 0) -> DataFrame:
     """``book_id, rclass_id, start, end, left, node, right, chapter, paragraph, sentence`` per region with a token.
 
-    The node is the tokens within the region, the windows those within ``context * 10`` characters of it; start and
+    Repeated rows count once. The node is the tokens within the region, the windows those within ``context * 10`` characters of it; start and
     end are the region's. Chapter, paragraph and sentence come from the first token of all windows, -1 for none.
     """
     if not rclasses:
@@ -27,7 +27,7 @@ def listing(tok: DataFrame, reg: DataFrame, rclasses: Sequence[int], context: in
     met = want.join(rows, (F.col("b") == F.col("book_id")) & (F.col("bin_") == F.col("bin2_")) & (F.col("tok_start") >= F.col("x_start")) & (F.col("tok_end") <= F.col("x_end")))
     place = F.when(F.col("tok_start") < F.col("r_start"), 0).when(F.col("tok_end") <= F.col("r_end"), 1).otherwise(2)
     token = F.struct("tok_start", "tok_end", "ttype", place.alias("side"), value_of(301).alias("chapter"), value_of(401).alias("paragraph"), value_of(402).alias("sentence"))
-    lines = met.groupBy("book_id", "rclass_id", "r_start", "r_end").agg(F.array_sort(F.collect_list(token)).alias("all"))
+    lines = met.groupBy("book_id", "rclass_id", "r_start", "r_end").agg(F.array_sort(F.collect_set(token)).alias("all"))
 
     def part(k: int):
         return F.transform(F.filter("all", lambda x: x["side"] == k), lambda x: F.struct(x["ttype"].alias("ttype"), x["tok_start"].alias("tok_start"), x["tok_end"].alias("tok_end")))
@@ -37,5 +37,6 @@ def listing(tok: DataFrame, reg: DataFrame, rclasses: Sequence[int], context: in
 
 
 def counts(tok: DataFrame, classes: dict[str, int]) -> DataFrame:
-    """Per book with a token: how many tokens each subset has, in one pass."""
-    return tok.groupBy("book_id").agg(*(F.count_if(in_class(c)).alias(name) for name, c in classes.items()))
+    """Per book with a token: how many tokens each subset has, in one pass. Repeated rows count once."""
+    flags = tok.select("book_id", "tok_start", *(in_class(c).alias(name) for name, c in classes.items())).distinct()
+    return flags.groupBy("book_id").agg(*(F.count_if(F.col(f"`{name}`")).alias(name) for name in classes))

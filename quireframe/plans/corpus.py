@@ -60,12 +60,17 @@ def _tok(spark: SparkSession, d: str) -> DataFrame:
     return st.tokens(table(spark, d, "token"))
 
 
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    """The token table as it is, for operators that see to repeated rows themselves."""
+    return table(spark, d, "token")
+
+
 def _reg(spark: SparkSession, d: str) -> DataFrame:
     return st.regions(table(spark, d, "text_region"))
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return st.word_counts(_tok(spark, d), _reg(spark, d), [301, 501, 502, 503, 504])
+    return st.word_counts(_raw(spark, d), _reg(spark, d), [301, 501, 502, 503, 504])
 
 
 # ---- the store -------------------------------------------------------------------------------------------------
@@ -117,24 +122,24 @@ SELECT ngram, freq FROM g {having}"""
 
 
 def _cluster(n: int, subset: str, cutoff: int | None) -> Query:
-    return lambda spark, d: cl.clusters(_tok(spark, d), SUBSETS[subset], n, cutoff)
+    return lambda spark, d: cl.clusters(_raw(spark, d), SUBSETS[subset], n, cutoff)
 
 
-named("wordlist_1gram", lambda spark, d: cl.word_list(_tok(spark, d), [301], 1), _ngram_sql(1, 301))
+named("wordlist_1gram", lambda spark, d: cl.word_list(_raw(spark, d), [301], 1), _ngram_sql(1, 301))
 for _n in range(2, 8):
     named(f"cluster_{_n}gram", _cluster(_n, "all", None), _ngram_sql(_n, 301, "WHERE freq >= 5"))
 named("cluster_quote_3gram", _cluster(3, "quote", None), _ngram_sql(3, 501, "WHERE freq >= 5"))
 named("cluster_nonquote_2gram", _cluster(2, "nonquote", 2), _ngram_sql(2, 502, "WHERE freq >= 2"))
 named("cluster_shortsus_2gram", _cluster(2, "shortsus", 1), _ngram_sql(2, 503))
 named("cluster_longsus_3gram", _cluster(3, "longsus", 1), _ngram_sql(3, 504))
-named("cluster_skipped_count", lambda spark, d: cl.skipped(_tok(spark, d), 301, 2, 5), f"SELECT count(*) AS skipped FROM ({_ngram_sql(2, 301)}) WHERE freq < 5")
+named("cluster_skipped_count", lambda spark, d: cl.skipped(_raw(spark, d), 301, 2, 5), f"SELECT count(*) AS skipped FROM ({_ngram_sql(2, 301)}) WHERE freq < 5")
 
 
 @query(f"WITH {_TK}, b AS (SELECT min(book_id) AS b FROM book WHERE name LIKE 't%'), f AS (SELECT ttype FROM tk, b WHERE tk.book_id = b.b AND {_in(301)} AND ttype IS NOT NULL) SELECT ttype AS ngram, count(*) AS freq FROM f GROUP BY ttype HAVING count(*) >= 2")
 def cluster_one_book(spark: SparkSession, d: str) -> DataFrame:
     """One book: the cutoff is 2."""
     first = table(spark, d, "book").where("name like 't%'").agg(F.min("book_id").alias("b"))
-    return cl.clusters(_tok(spark, d).where(F.col("book_id") == first.scalar()), 301, 1, None, books=1)
+    return cl.clusters(_raw(spark, d).where(F.col("book_id") == first.scalar()), 301, 1, None, books=1)
 
 
 def _keyword_sql(a: int, b: int, n: int, least: float | None, over: bool, digits: int = 4, tail: str = "") -> str:
@@ -152,7 +157,7 @@ FROM l WHERE {"use = '+'" if not over else "TRUE"} AND {f"ll >= {least}" if leas
 
 
 def _keyword(a: str, b: str, n: int, p: float, **kwargs) -> Query:
-    return lambda spark, d: ke.keywords(cl.word_list(_tok(spark, d), [SUBSETS[a]], n), cl.word_list(_tok(spark, d), [SUBSETS[b]], n), p, digits=4, half_even=False, **kwargs)
+    return lambda spark, d: ke.keywords(cl.word_list(_raw(spark, d), [SUBSETS[a]], n), cl.word_list(_raw(spark, d), [SUBSETS[b]], n), p, digits=4, half_even=False, **kwargs)
 
 
 named("keyword_nonquote_vs_quote", _keyword("nonquote", "quote", 1, 0.0001), _keyword_sql(502, 501, 1, 15.13, False))
@@ -187,7 +192,7 @@ def _words(c: str):
 
 def _conc(q: str, subset: str, context: int) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return cc.concordance(_tok(spark, d), [q], [SUBSETS[subset]], context).select("book_id", "position", "start", "end", _words("left"), _words("node"), _words("right"), "chapter", "paragraph")
+        return cc.concordance(_raw(spark, d), [q], [SUBSETS[subset]], context).select("book_id", "position", "start", "end", _words("left"), _words("node"), _words("right"), "chapter", "paragraph")
 
     return run
 
@@ -204,12 +209,12 @@ def conc_any_word(spark: SparkSession, d: str) -> DataFrame:
     """Several words, each a query of its own: a bag union."""
     from quireframe.functions.tokenise import any_words
 
-    return cc.concordance(_tok(spark, d), any_words("window ! lantern kettle"), [301]).groupBy("book_id").agg(F.count(F.lit(1)).alias("lines"))
+    return cc.concordance(_raw(spark, d), any_words("window ! lantern kettle"), [301]).groupBy("book_id").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of a frequent word with context words as arrays and a match count."""
-    rows = cc.concordance(_tok(spark, d), ["window"], [301], 5)
+    rows = cc.concordance(_raw(spark, d), ["window"], [301], 5)
     words = lambda c: F.transform(c, lambda t: t["ttype"]).alias(c)
     rows = rows.select("book_id", "start", "end", words("left"), words("node"), words("right"))
     return rows.withColumn("kwic", kw.score(F.col("left"), F.col("right"), ["The", "of", "a"], "-3:2"))
@@ -242,7 +247,7 @@ def context_sort_keys(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT book_id, count(*) AS lines, max(kwic)::INT AS max_kwic, count(*) FILTER (kwic > 0) AS kwic_count FROM v GROUP BY book_id)
 SELECT g.book_id, lines, max_kwic, kwic_count, round(lines / words::DOUBLE * 1000000, 2) AS rel_freq FROM g JOIN n USING (book_id)""")
 def dist_plot_rows(spark: SparkSession, d: str) -> DataFrame:
-    words = su.counts(_tok(spark, d).where("ttype is not null"), {"words": 301})
+    words = su.counts(_raw(spark, d).where("ttype is not null"), {"words": 301})
     return kw.by_book(_lines(spark, d)).join(words, "book_id").withColumn("rel_freq", kw.per_million(F.col("lines"), F.col("words"))).drop("words")
 
 
@@ -280,19 +285,19 @@ SELECT book_id, rclass_id, r_start AS start, r_end AS "end", coalesce(string_agg
   coalesce(string_agg(ttype, ' ' ORDER BY tok_start) FILTER (side = 2), '') AS "right", first({_val(301)} ORDER BY tok_start) AS chapter, first({_val(401)} ORDER BY tok_start) AS paragraph
 FROM m GROUP BY book_id, rclass_id, r_start, r_end HAVING count(*) FILTER (side = 1) > 0""")
 def region_expand_subset(spark: SparkSession, d: str) -> DataFrame:
-    rows = su.listing(_tok(spark, d), _reg(spark, d), [503, 504], 5)
+    rows = su.listing(_raw(spark, d), _reg(spark, d), [503, 504], 5)
     return rows.select("book_id", "rclass_id", "start", "end", _words("left"), _words("node"), _words("right"), "chapter", "paragraph")
 
 
 @query(f"WITH {_TK} SELECT book_id, " + ", ".join(f'count(*) FILTER ({_in(c)}) AS "{n}"' for n, c in SUBSETS.items()) + " FROM tk GROUP BY book_id")
 def count_by_subset(spark: SparkSession, d: str) -> DataFrame:
-    return su.counts(_tok(spark, d), SUBSETS)
+    return su.counts(_raw(spark, d), SUBSETS)
 
 
 @query(f"WITH {_TK}, {_RG} SELECT count(DISTINCT book_id) AS books, " + ", ".join(f'sum("{n}")::BIGINT AS "{n}"' for n in SUBSETS) + f", (SELECT count(*) FROM (SELECT DISTINCT book_id, rvalue FROM rg WHERE rclass_id = 302)) AS chapters FROM (SELECT book_id, " + ", ".join(f'count(*) FILTER ({_in(c)}) AS "{n}"' for n, c in SUBSETS.items()) + " FROM tk GROUP BY book_id)")
 def count_totals(spark: SparkSession, d: str) -> DataFrame:
     chapters = _reg(spark, d).where("rclass_id = 302").select("book_id", "rvalue").distinct().agg(F.count(F.lit(1)).alias("chapters"))
-    rows = su.counts(_tok(spark, d), SUBSETS).agg(F.count(F.lit(1)).alias("books"), *(F.sum(n).alias(n) for n in SUBSETS))
+    rows = su.counts(_raw(spark, d), SUBSETS).agg(F.count(F.lit(1)).alias("books"), *(F.sum(n).alias(n) for n in SUBSETS))
     return rows.withColumn("chapters", chapters.scalar())
 
 
