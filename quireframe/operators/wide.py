@@ -56,14 +56,16 @@ def to_wide(df: DataFrame, entity: str, attribute: str, value: str, loaded: str,
     found = [r["sig"] for r in stored.groupBy("sig").count().orderBy(F.desc("count"), "sig").limit(max_tables + 1).collect()]
 
     def dense(rows: DataFrame, own: list[tuple[int, str, Attribute]]) -> DataFrame:
-        return rows.select(F.col("e").alias(entity), *(F.col(c).cast(a.kind).alias(a.name) for _, c, a in own))
+        return rows.selectExpr(f"e AS `{entity}`", *(f"CAST({c} AS {a.kind}) AS `{a.name}`" for _, c, a in own))
 
-    tables = [dense(stored.where(F.col("sig") == sig), [s for s, bit in zip(spec, sig[1:], strict=True) if bit == "1"]) for sig in found[:max_tables]]
+    tables = [dense(stored.where(f"sig = '{sig}'"), [s for s, bit in zip(spec, sig[1:], strict=True) if bit == "1"]) for sig in found[:max_tables]]
     if len(found) > max_tables:
         tables.append(dense(stored.where(~F.col("sig").isin(found[:max_tables])), spec))
     if not tables:
         tables = [dense(stored, spec)]
-    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    while len(tables) > 1:  # in pairs, so that the plan stays shallow
+        tables = [reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables[i : i + 2]) for i in range(0, len(tables), 2)]
+    united = tables[0]
     return united.select(entity, *(F.col(a.name) if a.name in united.columns else F.lit(None).cast(a.kind).alias(a.name) for _, _, a in spec))
 
 
