@@ -94,7 +94,47 @@ m AS (SELECT ttype, occurrences, books,
   CASE WHEN occurrences < 3 THEN 'rare' WHEN books > 0.5 * n THEN 'common' ELSE 'kept' END AS mark FROM c, b)
 SELECT %s FROM m
 """
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
+_KANA = "ｦｧｨｩｪｫｬｭｮｯｰｱｲｳｴｵｶｷｸｹｺｻｼｽｾｿﾀﾁﾂﾃﾄﾅﾆﾇﾈﾉﾊﾋﾌﾍﾎﾏﾐﾑﾒﾓﾔﾕﾖﾗﾘﾙﾚﾛﾜﾝ", "ヲァィゥェォャュョッーアイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワン"
+
+
+def _alike(script: str, strict: bool) -> tuple[str, str]:
+    table = plain._tables(script)[0 if strict else 1]
+    return "".join(table), "".join(table.values())
+
+
+def _clean_sql(script: str) -> str:
+    (a, b), (x, y) = _alike(script, True), _alike(script, False)
+    return f"CASE WHEN regexp_matches(x, '[{plain.SCRIPTS[script]}]') THEN nfc_normalize(translate(x, '{x}', '{y}')) WHEN regexp_full_match(x, '[{a}\\P{{L}}]+') THEN translate(x, '{a}', '{b}') ELSE x END"
+
+
+def _p5_sql() -> str:
+    others = {n: f"length(regexp_replace(rest, '[^{plain.SCRIPTS[n]}]+', '', 'g'))" for n in ("cyrillic", "greek", "armenian")}
+    ligatures = "x0"
+    for cp in range(0xFB00, 0xFB07):
+        ligatures = f"replace({ligatures}, '{chr(cp)}', '{('ff', 'fi', 'fl', 'ffi', 'ffl', 'st', 'st')[cp - 0xFB00]}')"
+    return f"""
+WITH r AS (SELECT book_id, content, regexp_replace(content, '[\\x{{0}}-\\x{{24f}}\\x{{2000}}-\\x{{206f}}\\x{{3000}}-\\x{{303f}}\\x{{ff00}}-\\x{{ff65}}]+', '', 'g') AS rest, length(regexp_replace(content, '[^{plain.SCRIPTS['latin']}]+', '', 'g')) AS lat FROM book),
+b AS (SELECT book_id, CASE WHEN content IS NULL THEN NULL WHEN length(rest) * 10 < length(content) OR lat >= length(rest) THEN 'latin' {' '.join(f"WHEN {n} * 2 > length(rest) THEN '{k}'" for k, n in others.items())} ELSE 'other' END AS script FROM r),
+t AS (SELECT DISTINCT book_id, tok_start, ttype FROM token WHERE ttype IS NOT NULL),
+u AS (SELECT *, translate(translate(translate(regexp_replace(ttype, '[\\p{{Cf}}\\p{{Z}}\\p{{Cc}}]+', '', 'g'), '{plain.APOSTROPHES}{plain.HYPHENS}', '{"''" * len(plain.APOSTROPHES)}{'-' * len(plain.HYPHENS)}'), '{_WIDE[0]}', '{_WIDE[1]}'), '{_KANA[0]}', '{_KANA[1]}') AS x0 FROM t),
+v AS (SELECT u.*, nfc_normalize({ligatures}) AS x, script FROM u LEFT JOIN b ON b.book_id = u.book_id),
+w AS (SELECT book_id, tok_start, ttype, CASE script WHEN 'latin' THEN {_clean_sql('latin')} WHEN 'cyrillic' THEN {_clean_sql('cyrillic')} WHEN 'greek' THEN {_clean_sql('greek')} WHEN 'armenian' THEN {_clean_sql('armenian')} ELSE x END AS clean FROM v)
+SELECT DISTINCT book_id, tok_start, clean FROM w WHERE clean <> ttype"""
+
+
+def _reduced_sql(text: str) -> str:
+    return f"translate(regexp_replace(nfc_normalize(lower(translate({text}, '{_WIDE[0]}', '{_WIDE[1]}'))), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '{''.join(leaks.ALIKE)}', '{''.join(leaks.ALIKE.values())}')"
+
+
 SQL: dict[str, str] = {
+    "p5_found": _p5_sql(),
+    "p8_found": f"""
+WITH d AS (SELECT doc_id, {_reduced_sql('text')} AS t FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, {_reduced_sql('text')} AS t FROM heldout_item WHERE text IS NOT NULL),
+dw AS (SELECT DISTINCT doc_id, substring(t, p, 60) AS w FROM (SELECT doc_id, t, unnest(range(1, length(t) - 58)) AS p FROM d WHERE length(t) >= 60)),
+iw AS (SELECT DISTINCT item_id, substring(t, p, 60) AS w FROM (SELECT item_id, t, unnest(range(1, length(t) - 58)) AS p FROM i WHERE length(t) >= 60))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (w)""",
     "p7_found": f"SELECT doc_id FROM documents WHERE strlen(text) > {CONTAINER}",
     "p3_found": _P3 % "",
     "p3_counts": _P3 % ", n",
