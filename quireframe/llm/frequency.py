@@ -21,7 +21,7 @@ def value_frequencies(df: DataFrame, value: str, record: str, position: str | No
     rows = df.where(F.col(value).isNotNull())
     if position is not None:
         rows = rows.select(F.col(record).alias("r"), F.col(value).alias("v"), F.col(position).alias("p"))
-        rows = rows.repartition(parallelism(df.sparkSession), "r", F.expr(f"p div {block}").alias("b")).dropDuplicates(["r", "p", "v"])
+        rows = rows.withColumn("b", F.expr(f"p div {block}")).repartition(parallelism(df.sparkSession), "r", "b").dropDuplicates(["r", "b", "p", "v"])
     else:
         rows = rows.select(F.col(record).alias("r"), F.col(value).alias("v"))
     per_record = rows.groupBy("v", "r").agg(F.count(F.lit(1)).alias("n"))
