@@ -10,6 +10,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quireframe.functions.arrays import let, prefix_sums
+
 _SEGMENT = regex.compile(r"(?w).+?\b|(?w).", regex.DOTALL)
 _CLIPPED = regex.compile(r"(?:em|tis|twas|twill|twould)\W", regex.IGNORECASE)
 APOSTROPHES, HYPHENS = "'’", "-‐"
@@ -117,3 +119,14 @@ def portable_tokens(df: DataFrame, record: str, text: str) -> DataFrame:
     """``record, position, ttype`` (from 1) inside the JVM: lower case, no folding."""
     words = F.regexp_extract_all(F.lower(text), F.lit(PORTABLE), F.lit(0))
     return df.select(record, F.posexplode(words).alias("p", "ttype")).select(record, (F.col("p") + 1).alias("position"), "ttype")
+
+
+def portable_ranges(df: DataFrame, record: str, text: str) -> DataFrame:
+    """``record, position, tok_start, tok_end, word``: portable words as they stand, with their ranges."""
+    t = F.col(text)
+
+    def ranges(words):
+        return let(F.split(t, PORTABLE, -1), lambda g: let(F.transform(words, lambda w, i: F.length(F.get(g, i)) + F.length(w)), lambda s: let(prefix_sums(s), lambda p: F.transform(words, lambda w, i: F.struct(w.alias("word"), (F.get(p, i) + F.length(F.get(g, i))).alias("a"))))))
+
+    each = df.where(t.isNotNull()).select(record, F.posexplode(let(F.regexp_extract_all(t, F.lit(PORTABLE), F.lit(0)), ranges)).alias("p", "x"))
+    return each.select(record, (F.col("p") + 1).alias("position"), F.col("x.a").alias("tok_start"), (F.col("x.a") + F.length("x.word")).alias("tok_end"), F.col("x.word").alias("word"))

@@ -109,6 +109,18 @@ def portable_tokens(spark: SparkSession, d: str) -> DataFrame:
     return tokens(table(spark, d, "documents"), "doc_id", "text")
 
 
+@query(f"""
+WITH p AS (SELECT doc_id, regexp_extract_all(text, '{PORTABLE.replace("'", "''")}') AS tk, regexp_split_to_array(text, '{PORTABLE.replace("'", "''")}') AS gp FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, unnest(tk) AS tk, generate_subscripts(tk, 1) AS i, gp FROM p),
+e AS (SELECT doc_id, i, tk, sum(length(gp[i]) + length(tk)) OVER (PARTITION BY doc_id ORDER BY i)::INT AS tok_end FROM t)
+SELECT doc_id, i::INT AS position, tok_end - length(tk)::INT AS tok_start, tok_end, tk AS word FROM e""")
+def token_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Portable tokens with their ranges, by prefix sums of what lies between."""
+    from quireframe.functions.tokenise import portable_ranges
+
+    return portable_ranges(table(spark, d, "documents"), "doc_id", "text")
+
+
 # ---- word lists, clusters, key words ---------------------------------------------------------------------------
 
 
@@ -167,6 +179,13 @@ named("keyword_all_p", _keyword("longsus", "nonquote", 1, 1.0), _keyword_sql(504
 named("keyword_top3000", _keyword("nonquote", "quote", 1, 1.0, limit=3000), _keyword_sql(502, 501, 1, None, False, tail="ORDER BY a DESC, type LIMIT 3000"))
 
 
+@query(f"""WITH {_TK}, g AS (SELECT ttype, count(*) AS n FROM tk WHERE {_in(501)} AND ttype IS NOT NULL GROUP BY ttype) SELECT ttype AS type, n AS count, round(n / (SELECT sum(n) FROM g)::DOUBLE * 100, 2) AS percentage FROM g""")
+def facets_percentage(spark: SparkSession, d: str) -> DataFrame:
+    from quireframe.api import facets
+
+    return facets(cl.word_list(_raw(spark, d), [501]))
+
+
 # ---- concordance ------------------------------------------------------------------------------------------------
 
 
@@ -199,7 +218,7 @@ def _conc(q: str, subset: str, context: int) -> Query:
 
 for _name, _q, _s, _c in (
     ("conc_single", "window", "all", 0), ("conc_phrase2", "of the", "all", 0), ("conc_phrase3", "on the *", "all", 2), ("conc_wildcard_star", "con*", "all", 0), ("conc_wildcard_qmark", "wh?n", "all", 0),
-    ("conc_context3", "concordance", "all", 3), ("conc_quote_subset", "the *", "quote", 2), ("conc_nonquote_subset", "said *", "nonquote", 5), ("conc_longsus", "replied *", "longsus", 1),
+    ("conc_escape_underscore", "b_th*", "all", 0), ("conc_straddle", "* said *", "all", 1), ("conc_context3", "concordance", "all", 3), ("conc_quote_subset", "the *", "quote", 2), ("conc_nonquote_subset", "said *", "nonquote", 5), ("conc_longsus", "replied *", "longsus", 1),
 ):
     named(_name, _conc(_q, _s, _c), _conc_sql(parse_query(_q), SUBSETS[_s], _c))
 
@@ -350,6 +369,12 @@ def corpora_listing(spark: SparkSession, d: str) -> DataFrame:
     return _listing(spark, d)
 
 
+@query(f"WITH {_LIST} SELECT corpus_name, ordering, string_agg(book_name || '=' || coalesce(title, ''), '|' ORDER BY book_name) AS children FROM ls GROUP BY corpus_name, ordering")
+def corpora_nested(spark: SparkSession, d: str) -> DataFrame:
+    rows = co.nested_listing(_listing(spark, d))
+    return rows.select("corpus_name", "ordering", F.array_join(F.transform("children", lambda c: F.concat(c["id"], F.lit("="), F.coalesce(c["title"], F.lit("")))), "|").alias("children"))
+
+
 @query(f"WITH {_LIST} SELECT author, count(*) AS books FROM ls GROUP BY author")
 def books_per_author(spark: SparkSession, d: str) -> DataFrame:
     return co.books_per_author(_listing(spark, d))
@@ -427,6 +452,14 @@ def chapter_headings(spark: SparkSession, d: str) -> DataFrame:
     return kw.headings_with_part(st.region_text(table(spark, d, "book"), _reg(spark, d), [302, 303]))
 
 
+@query(f"WITH {_RG}, x AS (SELECT r.book_id, r.rclass_id, r.r_start - 3 AS a, r.r_end + 3 AS z, b.content FROM rg r JOIN book b USING (book_id) WHERE b.content IS NOT NULL AND rclass_id = 302 AND r.r_start >= 3), c AS (SELECT *, substring(content, a + 1, z - a) AS t FROM x) SELECT book_id, (a + length(t) - length(regexp_replace(t, '^[\\s\\p{{Z}}]+', '')))::INT AS r_start, (z - length(t) + length(regexp_replace(t, '[\\s\\p{{Z}}]+$', '')))::INT AS r_end FROM c WHERE trim(t) <> ''")
+def region_trimmed(spark: SparkSession, d: str) -> DataFrame:
+    """Headings with three characters more on either side, without the white space that brings."""
+    rows = _reg(spark, d).where("rclass_id = 302 and r_start >= 3").join(table(spark, d, "book").where("content is not null").select("book_id", "content"), "book_id")
+    wide = iv.expanded(F.col("r_start"), F.col("r_end"), 3)
+    return iv.trimmed(rows.withColumns({"r_start": wide[0], "r_end": wide[1]}), "content").select("book_id", "r_start", "r_end")
+
+
 # ---- tags -----------------------------------------------------------------------------------------------------------
 
 
