@@ -73,7 +73,7 @@ def put_corpora(corpora: DataFrame, links: DataFrame, book: DataFrame, path: str
     missing = [r["book"] for r in known.where("book_id is null").select("book").distinct().limit(5).collect()]
     if missing:
         raise UserError(f"Unknown books: {', '.join(sorted(missing))}")
-    numbered = cut(corpora.withColumn("corpus_id", F.abs(F.hash("name"))))
+    numbered = cut(corpora.withColumn("corpus_id", F.pmod(F.hash("name"), F.lit(2**31 - 1))))
     numbered.write.mode("overwrite").parquet(f"{path}/corpus")
     known.join(numbered.select(F.col("name").alias("corpus"), "corpus_id"), "corpus").select("corpus_id", "book_id").distinct().write.mode("overwrite").parquet(f"{path}/corpus_book")
 

@@ -50,8 +50,10 @@ def to_wide(df: DataFrame, entity: str, attribute: str, value: str, loaded: str,
 
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/wide-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     width = parallelism(spark)
-    cells.repartition(width, "sig", F.abs(F.hash("e")) % max(1, width // 4)).write.partitionBy("sig").parquet(path)
+    cells.repartition(width, "sig", F.pmod(F.hash("e"), F.lit(max(1, width // 4)))).write.partitionBy("sig").parquet(path)
     stored = spark.read.schema(cells.schema).parquet(path)
     found = [r["sig"] for r in stored.groupBy("sig").count().orderBy(F.desc("count"), "sig").limit(max_tables + 1).collect()]
 
