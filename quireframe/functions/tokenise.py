@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quireframe.functions.arrays import let, prefix_sums
 
 _SEGMENT = regex.compile(r"(?w).+?\b|(?w).", regex.DOTALL)
+#: Words that begin with an apostrophe.
 _CLIPPED = regex.compile(r"(?:em|tis|twas|twill|twould)\W", regex.IGNORECASE)
 APOSTROPHES, HYPHENS = "'’", "-‐"
 #: Characters folded to ASCII that have no canonical decomposition.
