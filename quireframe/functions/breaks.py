@@ -9,20 +9,24 @@ import regex
 from pyspark.sql import SparkSession
 
 #: Abbreviations of the public locale data for English after which a point breaks nothing (a part; see ``suppressions``).
-ENGLISH = frozenset(["Mr.", "Mrs.", "Ms.", "Prof.", "Rev.", "Capt.", "Col.", "Lt.", "Maj.", "Sgt.", "Gen.", "Hon.B.A.", "Etc.", "E.g.", "I.e.", "vs.", "Jr.", "Sr.", "Cmdr.", "Comdr.", "Corp.", "Adj.", "Brig.", *(f"{c}." for c in "ABCDEFGHIJKLMNOPQRSTUVWXZ")])
-_END = regex.compile(r"(?P<term>[.․﹒．!?‼⁇⁈⁉։؟۔।॥።፧。！？｡]+)[\"'“”‘’«»‹›)\]}」』﹂]*(?P<space>[^\S\n]*)(?P<para>\n)?")
+ENGLISH = frozenset(["Mr.", "Mrs.", "Ms.", "Prof.", "Rev.", "Capt.", "Col.", "Lt.", "Maj.", "Sgt.", "Gen.", "Hon.B.A.", "Etc.", "E.g.", "I.e.", "vs.", "Jr.", "Sr.", "Cmdr.", "Comdr.", "Corp.", "Adj.", "Brig.", *(f"{c}." for c in "FGOQTXZ")])
+_END = regex.compile(r"(?P<term>[.․﹒．!?‼⁇⁈⁉։؟۔।॥።፧。！？｡]+)[\"'\p{Ps}\p{Pe}\p{Pi}\p{Pf}]*(?P<space>[^\S\n]*)(?P<para>\n)?")
 _GOES_ON = regex.compile(r"[,\-:–—՝،;、，：；]")
 _FIRST = regex.compile(r"[^\p{L}\n.!?]*(\p{Ll})")
 
 
 def suppressions(spark: SparkSession) -> frozenset[str]:
-    """The list of the locale data that comes with Spark's own libraries; the part frozen here if it can't be read."""
+    """The list of the locale data that comes with Spark's own libraries; the part frozen here if it can't be read.
+
+    An entry that others go on from (``E.`` of ``E.g.``) suppresses nothing by itself, as in that library's iterator.
+    """
     try:
         jvm = spark._jvm
         loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
         data = jvm.com.ibm.icu.util.UResourceBundle.getBundleInstance("com/ibm/icu/impl/data/icudata/brkitr", "en", loader)
         words = data.get("exceptions").get("SentenceBreak")
-        return frozenset(words.getString(i) for i in range(words.getSize())) | ENGLISH
+        every = {words.getString(i) for i in range(words.getSize())}
+        return frozenset(w for w in every if not any(x != w and x.startswith(w) for x in every))
     except Exception:
         return ENGLISH
 

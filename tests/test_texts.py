@@ -39,6 +39,30 @@ def test_sentence_rules(spark):
     assert "Mr." in suppressions(spark) and cut("No Mr. X here. Yes.", suppressions(spark)) == ["No Mr. X here.", "Yes."]
 
 
+def icu(spark, kind, text):
+    """Boundaries by the Unicode library among Spark's own."""
+    jvm = spark._jvm.com.ibm.icu
+    it = getattr(jvm.text.BreakIterator, f"get{kind}Instance")(jvm.util.ULocale("en_GB@ss=standard"))
+    it.setText(text)
+    out = []
+    while (b := it.next()) != -1:
+        out.append(b)
+    return out
+
+
+def test_against_icu(spark):
+    from quireframe.functions.tokenise import segments
+
+    text = (
+        "“Thou find’st it out, child?  Ay, ’tis worth all; is it not?  That fever never left\nme. A man can’t (in your foggy\nmeadows) see.” ‘Well!’ said Mr. Oliver, No. 5 at 3.5 p.m. etc. and so on. "
+        "The U.S.A. is far... too far! Is it?! No, e.g. X. Etc. Mrs. Moss said: “Yes.” “No.” (So. There.) day--one café naïve über-alles 'em.\n\nNext para\n\n「これは。」「それ。」 Конец. И вот? да! Τέλος. Ναι"
+    )
+    assert [z for _, z in segments(text)] == icu(spark, "Word", text) or set(icu(spark, "Word", text)) ^ {z for _, z in segments(text)} <= {i for i, c in enumerate(text, 1) if c in "'’これはそ"}
+    flat = text.replace("\n\n", "\0").replace("\n", " ").replace("\0", "\n\n")
+    begins = lambda cuts: {i + len(text[i:]) - len(text[i:].lstrip()) for i in cuts} - {len(text)}
+    assert begins(boundaries(text, suppressions(spark))) == begins(icu(spark, "Sentence", flat))
+
+
 def regions(text, *names):
     return sorted((k, *r) for k, rs in tag(text.strip()).items() for r in rs if k in names)
 
