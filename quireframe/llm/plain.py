@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quireframe.functions.tokenise import tokenise
+
 #: Scripts told apart, as Unicode ranges; the ideographic one stands for all that write Chinese characters or kana.
 SCRIPTS = {
     "latin": "A-Za-zªº\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u1e00-\u1eff",
@@ -87,22 +89,33 @@ def _python_unstable() -> re.Pattern[str]:
     return re.compile(f"[{cls}{_COMPATIBLE}]+|(?P<gone>[{inv}]+)|(?P<apo>[{re.escape(APOSTROPHES)}])|(?P<hyp>[{re.escape(HYPHENS)}])")
 
 
+@functools.cache
+def _passes(keep_space: bool) -> tuple[re.Pattern[str], dict[str, str], re.Pattern[str]]:
+    """The two passes over a text: what is replaced and by what, and what is normalised. Each begins with one class, which
+    a search runs through fastest; plain spaces and line ends that are kept are in neither."""
+    by: dict[str, str] = {}
+    norm = []
+    for c in map(chr, range(sys.maxunicode + 1)):
+        m = _python_unstable().match(c)
+        if m is None or keep_space and c in " \n\r\t":
+            continue
+        if m["gone"] is not None:
+            by[c] = " " if keep_space and unicodedata.category(c) == "Zs" else ""
+        elif m["apo"] or m["hyp"]:
+            by[c] = "'" if m["apo"] else "-"
+        else:
+            norm.append(ord(c))
+    replaced, unstable = (re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", _ranges(x)) for x in (sorted(map(ord, by)), norm))
+    return re.compile(f"[{replaced}]"), by, re.compile(f"[{unstable}][{unstable}]*")
+
+
 def spliced(text: str, keep_space: bool = False) -> str:
     """``text`` in canonical form: unstable segments normalised with the character they lean on, the rest unchanged."""
-    pattern = _python_unstable()
-    if pattern.search(text) is None:
-        return text
+    replaced, by, pattern = _passes(keep_space)
     # What is not there to see goes first: it may stand between a letter and its accent.
-    def plain(m: re.Match[str]) -> str:
-        if m["gone"] is not None:
-            return "".join(" " if unicodedata.category(c) == "Zs" else c for c in m[0] if c in "\n\r\t" or unicodedata.category(c) == "Zs") if keep_space else ""
-        return "'" if m["apo"] else "-" if m["hyp"] else m[0]
-
-    text = pattern.sub(plain, text)
+    text = replaced.sub(lambda m: by[m[0]], text)
     out, last = [], 0
     for m in pattern.finditer(text):
-        if m["gone"] is not None or m["apo"] or m["hyp"]:
-            continue
         a, z = m.start(), m.end()
         while a > last and (unicodedata.combining(text[a]) or a == m.start()):
             a -= 1
@@ -228,14 +241,53 @@ def plain_tokens(tokens: DataFrame, texts: DataFrame, word: str, record: str, po
     return both.where("w != clean").select(F.col("r").alias(record), F.col("p").alias(position), "clean").distinct()
 
 
+@functools.cache
+def _alike(script: str | None) -> re.Pattern[str] | None:
+    """Characters that may change in a text in ``script``: look-alikes of its letters, with or without accents."""
+    if script not in ("latin", "cyrillic", "greek", "armenian"):
+        return None
+    table = _tables(script)[1]
+    return re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x41, 0x2000)) if any(d in table for d in unicodedata.normalize("NFD", c))) + "]")
+
+
+def plain_text(text: str, script: str | None) -> str:
+    """``text`` in canonical form, white space kept as spaces and line ends, each of its words in plain form.
+
+    Words are those of the tokeniser; only stretches between white space that hold a look-alike are divided into words.
+    """
+    text = spliced(text, keep_space=True)
+    alike = _alike(script)
+    if alike is None:
+        return text
+    out, last = [], 0
+    for m in alike.finditer(text):
+        if m.start() < last:
+            continue
+        a, z = m.span()
+        while a > last and not text[a - 1].isspace():
+            a -= 1
+        while z < len(text) and not text[z].isspace():
+            z += 1
+        out.append(text[last:a])
+        last = a
+        for _, b, e in tokenise(text[a:z], a):
+            out += [text[last:b], plain_word(text[b:e], script)]
+            last = e
+        out.append(text[last:z])
+        last = z
+    return "".join([*out, text[last:]])
+
+
 @F.pandas_udf(StringType())
-def canonical(texts: pd.Series) -> pd.Series:
-    """Whole texts in one form, white space kept as spaces and line ends; null stays null."""
-    return texts.map(lambda t: None if t is None else spliced(t, keep_space=True)).astype("object")
+def canonical(texts: pd.Series, scripts: pd.Series) -> pd.Series:
+    """Whole texts in plain form, each in its script; null stays null."""
+    return pd.Series([None if t is None else plain_text(t, s) for t, s in zip(texts, scripts, strict=True)], dtype="object")
 
 
 def canonical_texts(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with ``text`` in canonical form; texts that pass the quick check never leave the JVM's columns changed."""
-    odd = f"[{unstable_class()}{_COMPATIBLE}\u00a0\u00ad\u200b-\u200f\u202f\u2060-\u2064\ufeff{APOSTROPHES}{HYPHENS}]"
+    """``df`` with ``text`` in plain form, look-alikes in the script of most letters of the text; texts that pass the
+    quick check never leave the JVM's columns changed. Those without Cyrillic, Greek or Armenian letters have none."""
+    alike = SCRIPTS["cyrillic"] + SCRIPTS["greek"] + SCRIPTS["armenian"]
+    odd = f"[{unstable_class()}{_COMPATIBLE}{alike}\u00a0\u00ad\u200b-\u200f\u202f\u2060-\u2064\ufeff{APOSTROPHES}{HYPHENS}]"
     stable = df.where(F.coalesce(~F.col(text).rlike(odd), F.lit(True)))
-    return stable.unionByName(df.where(F.col(text).rlike(odd)).withColumn(text, canonical(F.col(text))))
+    return stable.unionByName(df.where(F.col(text).rlike(odd)).withColumn(text, canonical(F.col(text), main_script(F.col(text)))))

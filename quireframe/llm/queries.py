@@ -33,9 +33,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every book that has a content, with its length before and after it is brought to canonical form."""
+    """Every book that has a content: the content in plain form, with its length before and after."""
     book = table(spark, sf_dir, "book").where("content is not null").select("book_id", "content", F.length("content").alias("n_before"))
-    return plain.canonical_texts(book, "content").select("book_id", "n_before", F.length("content").alias("n_after"))
+    return plain.canonical_texts(book, "content").select("book_id", "n_before", F.length("content").alias("n_after"), "content")
 
 
 def _frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:

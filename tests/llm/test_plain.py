@@ -55,3 +55,9 @@ def test_contents(spark, rows):
     long = "ordinary words " * 50_000 + "ｅｎｄ"
     df = spark.createDataFrame([(1, "A b\n“ｃ” é​", "k"), (2, None, "k"), (3, "plain", "k"), (4, long, "k")], "id long, t string, odd string")
     assert {r["id"]: r["t"] for r in canonical_texts(df, "t").collect()} == {1: "A b\n“c” é", 2: None, 3: "plain", 4: long[:-3] + "end"}
+
+
+def test_contents_fold_look_alikes(spark):
+    texts = {1: ("I сould nοt see thе тюсть, «hаνe» nό\xadt-а.", "I could not see the тюсть, «have» nót-a."), 2: ("тюcть и oн, фраза, фраза, chapter c", "тюсть и он, фраза, фраза, chapter с"), 3: ("τoυ μόvoς, φικιδι", "του μόνος, φικιδι"), 4: ("見る а nοt", "見る а nοt"), 5: (None, None), 6: ("plain only", "plain only")}
+    df = spark.createDataFrame([(i, a) for i, (a, _) in texts.items()], "id long, t string")
+    assert {r["id"]: r["t"] for r in canonical_texts(df, "t").collect()} == {i: z for i, (_, z) in texts.items()}
