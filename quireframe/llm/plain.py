@@ -81,34 +81,58 @@ def unstable_class() -> str:
     return _ranges(sorted({*no, *maybe}))
 
 
+#: Ends of lines and pages, which come out as line ends.
+_BREAKS = "\x0b\x0c\x85\u2028\u2029"
+
+
+@functools.cache
+def _gone() -> frozenset[str]:
+    """Characters that a word can't hold: spaces, controls and what is not there to see."""
+    other = [*map(chr, (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0)), *map(chr, range(0x180B, 0x180F)), *map(chr, range(0xFE00, 0xFE10))]
+    return frozenset([*other, *(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Cf", "Zs", "Zl", "Zp", "Cc"))])
+
+
 @functools.cache
 def _python_unstable() -> re.Pattern[str]:
     java = unstable_class()
     cls = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", java)
-    inv = "".join(f"\\U{cp:08x}" for cp in range(sys.maxunicode + 1) if unicodedata.category(chr(cp)) in ("Cf", "Zs", "Zl", "Zp", "Cc")) + "\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180e\u3164\ufe00-\ufe0f\uffa0"
+    inv = "".join(f"\\U{ord(c):08x}" for c in sorted(_gone()))
     return re.compile(f"[{cls}{_COMPATIBLE}]+|(?P<gone>[{inv}]+)|(?P<apo>[{re.escape(APOSTROPHES)}])|(?P<hyp>[{re.escape(HYPHENS)}])")
 
 
 @functools.cache
-def _passes(keep_space: bool) -> tuple[re.Pattern[str], dict[str, str], re.Pattern[str]]:
-    """The two passes over a text: what is replaced and by what, and what is normalised. Each begins with one class, which
-    a search runs through fastest; plain spaces and line ends that are kept are in neither."""
+def _changed(keep_space: bool) -> tuple[dict[str, str], list[int]]:
+    """What is replaced and by what, and what is normalised; plain spaces and line ends that are kept are in neither."""
     by: dict[str, str] = {}
     norm = []
     for c in map(chr, range(sys.maxunicode + 1)):
         m = _python_unstable().match(c)
         if m is None or keep_space and c in " \n\r\t":
             continue
-        if m["gone"] is not None:
-            by[c] = " " if keep_space and unicodedata.category(c) == "Zs" else ""
+        if c in _gone():
+            by[c] = "" if not keep_space else " " if unicodedata.category(c) == "Zs" else "\n" if c in _BREAKS else ""
         elif m["apo"] or m["hyp"]:
             by[c] = "'" if m["apo"] else "-"
         else:
             norm.append(ord(c))
+    return by, norm
+
+
+@functools.cache
+def _passes(keep_space: bool) -> tuple[re.Pattern[str], dict[str, str], re.Pattern[str]]:
+    """The two passes over a text. Each begins with one class, which a search runs through fastest."""
+    by, norm = _changed(keep_space)
     replaced, unstable = (re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", _ranges(x)) for x in (sorted(map(ord, by)), norm))
     return re.compile(f"[{replaced}]"), by, re.compile(f"[{unstable}][{unstable}]*")
 
 
+@functools.cache
+def _odd_class() -> str:
+    """A Java character class of all that ``spliced`` changes in a text whose white space is kept."""
+    by, norm = _changed(True)
+    return _ranges(sorted({*map(ord, by), *norm}))
+
+
 def spliced(text: str, keep_space: bool = False) -> str:
     """``text`` in canonical form: unstable segments normalised with the character they lean on, the rest unchanged."""
     replaced, by, pattern = _passes(keep_space)
@@ -288,6 +312,6 @@ def canonical_texts(df: DataFrame, text: str) -> DataFrame:
     """``df`` with ``text`` in plain form, look-alikes in the script of most letters of the text; texts that pass the
     quick check never leave the JVM's columns changed. Those without Cyrillic, Greek or Armenian letters have none."""
     alike = SCRIPTS["cyrillic"] + SCRIPTS["greek"] + SCRIPTS["armenian"]
-    odd = f"[{unstable_class()}{_COMPATIBLE}{alike}\u00a0\u00ad\u200b-\u200f\u202f\u2060-\u2064\ufeff{APOSTROPHES}{HYPHENS}]"
+    odd = f"[{_odd_class()}{alike}]"
     stable = df.where(F.coalesce(~F.col(text).rlike(odd), F.lit(True)))
     return stable.unionByName(df.where(F.col(text).rlike(odd)).withColumn(text, canonical(F.col(text), main_script(F.col(text)))))

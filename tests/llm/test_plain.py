@@ -61,3 +61,13 @@ def test_contents_fold_look_alikes(spark):
     texts = {1: ("I сould nοt see thе тюсть, «hаνe» nό\xadt-а.", "I could not see the тюсть, «have» nót-a."), 2: ("тюcть и oн, фраза, фраза, chapter c", "тюсть и он, фраза, фраза, chapter с"), 3: ("τoυ μόvoς, φικιδι", "του μόνος, φικιδι"), 4: ("見る а nοt", "見る а nοt"), 5: (None, None), 6: ("plain only", "plain only")}
     df = spark.createDataFrame([(i, a) for i, (a, _) in texts.items()], "id long, t string")
     assert {r["id"]: r["t"] for r in canonical_texts(df, "t").collect()} == {i: z for i, (_, z) in texts.items()}
+
+
+def test_contents_quick_check_misses_nothing(spark):
+    odd = "\u2000\u2002\u2009\u200a\u3000\u061c\u2066\u2069\u180e\x0b\x0c\x85\u2028\u034f\ufe0f\u3164\u00ad\u200b\u00a0"
+    texts = [f"a{c}b" for c in odd]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {r["id"]: r["t"] for r in canonical_texts(df, "t").collect()}
+    assert got == {i: spliced(t, keep_space=True) for i, t in enumerate(texts)}
+    assert [got[i] for i in range(13)] == ["a b"] * 5 + ["ab"] * 4 + ["a\nb"] * 4 and [got[i] for i in range(13, 19)] == ["ab"] * 5 + ["a b"]
+    assert spliced("a\u2000b") == "ab"
