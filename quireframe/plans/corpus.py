@@ -121,6 +121,22 @@ def token_offsets(spark: SparkSession, d: str) -> DataFrame:
     return portable_ranges(table(spark, d, "documents"), "doc_id", "text")
 
 
+@query(None)
+def exact_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The tokens of all whole books by the exact tokeniser."""
+    from quireframe.functions.tokenise import token_table
+
+    return token_table(table(spark, d, "book"))
+
+
+@query(None)
+def tagged_regions(spark: SparkSession, d: str) -> DataFrame:
+    """The regions of all whole books by the taggers."""
+    from quireframe.operators.tagging import tag_books
+
+    return tag_books(table(spark, d, "book"))
+
+
 # ---- word lists, clusters, key words ---------------------------------------------------------------------------
 
 
@@ -231,6 +247,13 @@ def conc_any_word(spark: SparkSession, d: str) -> DataFrame:
     return cc.concordance(_raw(spark, d), any_words("window ! lantern kettle"), [301]).groupBy("book_id").agg(F.count(F.lit(1)).alias("lines"))
 
 
+@query(None)
+def conc_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a frequent word with the text of their windows, cut from whole books."""
+    lines = cc.with_text(cc.concordance(_raw(spark, d), ["window"], [301], 5), table(spark, d, "book"))
+    return lines.select("book_id", "position", "start", "end", "left", "node", "right")
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of a frequent word with context words as arrays and a match count."""
     rows = cc.concordance(_raw(spark, d), ["window"], [301], 5)
