@@ -426,6 +426,14 @@ def corpora_touching_books(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "corpus").join(touched, "corpus_id", "left_semi").select("corpus_id")
 
 
+@query("SELECT corpus_id FROM corpus WHERE corpus_id IN (SELECT l.corpus_id FROM corpus_book l JOIN book b ON b.book_id = l.book_id WHERE b.content <> '')")
+def corpora_with_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Corpora that have a book with a text: links of all books are looked at."""
+    some = table(spark, d, "book").where("content <> ''").select("book_id")
+    touched = table(spark, d, "corpus_book").join(some, "book_id", "left_semi").select("corpus_id").distinct()
+    return table(spark, d, "corpus").join(touched, "corpus_id", "left_semi").select("corpus_id")
+
+
 @query(f"WITH {_TK}, y AS (SELECT DISTINCT ttype FROM tk WHERE ttype LIKE 'con%') SELECT ttype, count(*) AS freq FROM tk WHERE ttype IN (SELECT ttype FROM y) GROUP BY ttype")
 def like_on_types_semi(spark: SparkSession, d: str) -> DataFrame:
     """A pattern held against distinct types first, then a semi join."""

@@ -31,3 +31,7 @@ def test_whole_books(spark, store, rows):
 def test_line_texts():
     got = entry.queries()
     assert {"exact_tokens", "tagged_regions", "conc_texts"} <= got.keys() and not {"exact_tokens", "tagged_regions", "conc_texts"} & entry.oracle_sql().keys()
+
+
+def test_corpora_of_all_books(spark, store, rows):
+    assert rows(entry.queries()["corpora_with_texts"](spark, store)) == [(1,)]
