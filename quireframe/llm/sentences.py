@@ -1,7 +1,8 @@
 """Sentence units of texts in many languages and scripts, as Spark expressions.
 
-Points that end nothing (decimals, addresses, initials, abbreviations) are masked one for one by a private-use
-character; a second private-use character is put behind every end of a sentence that the script's marks show; the
+Points that end nothing (initials, abbreviations, ordinals, pairs of letters) are masked one for one by a private-use
+character; decimals and addresses need no mask, as a Western mark ends a sentence only before white space, which they lack
+inside; a second private-use character is put behind every end of a sentence that the script's marks show; the
 pieces between are the sentences. As masks keep the length, offsets hold for the unmasked text.
 """
 
