@@ -478,6 +478,15 @@ def region_preview(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("book_id", "rclass_id", "r_start", "r_end", preview(F.substring("content", F.col("r_start") + 1, F.col("r_end") - F.col("r_start"))).alias("preview"))
 
 
+@query(None)
+def region_previews(spark: SparkSession, d: str) -> DataFrame:
+    """The preview of every region, as side-cars have it, long ranges too."""
+    from quireframe.sources.export import region_rows
+
+    names = {r["rclass_id"]: r["name"] for r in table(spark, d, "rclass").collect()}
+    return region_rows(_reg(spark, d), table(spark, d, "book"), names)
+
+
 @query(f"WITH {_RG}, x AS (SELECT r.*, substring(b.content, r.r_start + 1, r.r_end - r.r_start) AS c FROM rg r JOIN book b USING (book_id) WHERE rclass_id IN (302, 303)), p AS (SELECT *, last_value(CASE WHEN rclass_id = 303 THEN c END IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY r_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part FROM x) SELECT book_id, r_start, concat_ws(' ', part, c) AS heading FROM p WHERE rclass_id = 302")
 def chapter_headings(spark: SparkSession, d: str) -> DataFrame:
     return kw.headings_with_part(st.region_text(table(spark, d, "book"), _reg(spark, d), [302, 303]))

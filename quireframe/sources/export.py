@@ -7,8 +7,10 @@ import traceback
 from collections.abc import Iterable, Iterator
 from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from quireframe.errors import as_header
 
@@ -22,9 +24,23 @@ def preview(text: Column) -> Column:
 def region_rows(reg: DataFrame, book: DataFrame, names: dict[int, str]) -> DataFrame:
     """``name, rclass, start, end, rvalue, preview`` as a side-car has them, by start, wider first, then class."""
     rclass = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
-    text = F.substring("content", F.col("r_start") + 1, F.col("r_end") - F.col("r_start"))
-    rows = reg.join(book.select("book_id", "name", "content"), "book_id").withColumn("rclass", F.try_element_at(rclass, F.col("rclass_id")))
-    return rows.select("name", "rclass", F.col("r_start").alias("start"), F.col("r_end").alias("end"), "rvalue", preview(text).alias("preview"))
+    ranges = reg.withColumn("rclass", F.try_element_at(rclass, F.col("rclass_id"))).groupBy("book_id").agg(F.collect_list(F.struct("rclass", "r_start", "r_end", "rvalue")).alias("x"))
+    rows = ranges.join(book.select("book_id", "name", "content"), "book_id")
+    each = rows.select("name", F.explode(F.arrays_zip("x", _previews("content", "x.r_start", "x.r_end").alias("preview"))).alias("e"))
+    return each.select("name", "e.x.rclass", F.col("e.x.r_start").alias("start"), F.col("e.x.r_end").alias("end"), "e.x.rvalue", "e.preview")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _previews(contents: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """The previews of all ranges of a book: places in a text are found at once here, the JVM counts from the beginning."""
+
+    def one(text: str | None, a: int, z: int) -> str | None:
+        if text is None:
+            return None
+        z = min(z, len(text))
+        return (text[a : a + 20] + "..." + text[z - 20 : z] if z - a >= 40 else text[a:z]).replace("\n", " ")
+
+    return pd.Series([[one(t, a, z) for a, z in zip(x, y, strict=True)] for t, x, y in zip(contents, starts, ends, strict=True)], dtype="object")
 
 
 def write_regions(rows: DataFrame, path: str) -> None:

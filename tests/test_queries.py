@@ -35,3 +35,9 @@ def test_line_texts():
 
 def test_corpora_of_all_books(spark, store, rows):
     assert rows(entry.queries()["corpora_with_texts"](spark, store)) == [(1,)]
+
+
+def test_previews_of_every_region(spark, store, rows):
+    got = rows(entry.queries()["region_previews"](spark, store))
+    text = WILLOWS[34:]
+    assert got == sorted([("willows", "chapter.text", 34, len(WILLOWS), 1, (text[:20] + "..." + text[-20:]).replace("\n", " ")), ("willows", "quote", 0, 7, None, "Willows"), ("none", "quote", 0, 5, None, None), ("alice", None, 0, 5, None, "Alice")], key=repr)
