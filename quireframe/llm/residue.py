@@ -1,127 +1,311 @@
 """Template residue and error-page text: unfilled slots, filler, error pages, stand-in pages and script notices.
 
-Lines are held against detectors, each of which takes a line as a whole, so that a sentence that speaks of an error or
-quotes a slot is no case. A response that no detector knows still counts as one by combined evidence: it is short, its
-title or body uses the terms of error pages, these don't occur in the slug of its address, and the same response, up to
-numbers, comes from several hosts again and again.
+A line is judged by what it is made of, not by its wording: its words are held against a lexicon of ideas (place, negation,
+find, failure, refusal, script, requirement, remedy, waiting, template nouns and verbs) in many languages, and what counts
+is which ideas meet in it and how much of it they cover. A sentence that only speaks of an error tells a story in other
+words and is covered poorly. Slots are told by their grammar, status lines and program messages by their form.
+
+Lines that show a single idea, and whole responses in words that the lexicon lacks, are decided by combined evidence: the
+same body, numbers aside, under titles and addresses it shares no term with, how many of these there are and on how many
+hosts, against how much the body says. No count is absolute and no length ends it.
 """
 
 from __future__ import annotations
 
+import functools
+import re
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import regex
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quireframe.llm.lexicon import NEUTRAL, TERMS, WEB
+from quireframe.session import cut
+
 _NAME = "[\\p{L}_][\\p{L}\\p{N}_.-]{0,60}"
 _ARG = f"\\s{{0,3}}{_NAME}(?:\\s{{0,3}}\\|\\s{{0,3}}\\w+)?\\s{{0,3}}"
 #: Slots of the usual template languages, in lower case.
 SLOTS = [
-    f"\\{{\\{{{_ARG}\\}}\\}}",
+    f"\\{{{{2,3}}{_ARG}\\}}{{2,3}}",
     f"[$#]\\{{{_ARG}\\}}",
     f"(?<![\\p{{L}}\\p{{N}}\\\\$#%={{])(?<!= )\\{{{_NAME}\\}}(?!\\}})",
     f"<%[=-]?{_ARG}-?%>",
+    f"<\\?=?(?:php)?\\s{{0,3}}(?:echo )?\\${_NAME};?\\s{{0,3}}\\?>",
     f"\\{{%-?\\s{{0,3}}\\w+(?:\\s+{_NAME})?\\s{{0,3}}-?%\\}}",
+    f"\\[%-?{_ARG}-?%\\]",
     f"<<{_ARG}>>",
     f"&lt;{_ARG}&gt;",
     f"@@{_NAME}@@",
     "(?<![\\p{L}\\p{N}_])__\\p{L}[\\p{L}\\p{N}.-]*(?:_[\\p{L}\\p{N}.-]+)*__(?![\\p{L}\\p{N}_])",
     f"%\\({_NAME}\\)[sd]",
-    f"(?<![\\p{{L}}\\p{{N}}%])%{_NAME}%(?![\\p{{L}}\\p{{N}}%])",
+    f"(?<![\\p{{L}}\\p{{N}}%])%{{1,2}}{_NAME}%{{1,2}}(?![\\p{{L}}\\p{{N}}%])",
+    f"\\*\\|{_NAME}(?::{_NAME})?\\|\\*",
+    "(?<![\\p{L}\\p{N}$])\\$\\p{L}[\\p{L}\\p{N}]*(?:[_.]\\p{L}[\\p{L}\\p{N}]*)+\\$(?![\\p{L}\\p{N}$])",
     f"\\[\\[{_ARG}\\]\\]",
     f"\\[{_NAME} here\\]",
     "[\\[<](?:insert|enter|add|your) [^\\[\\]<>\n]{1,60}[\\]>]",
     "\\[\\p{L}+(?:[_.]\\p{L}+)+\\]",
 ]
-#: Filler that stands where a text should be, in lower case, as patterns.
-FILLER = [
-    "(?:sample|dummy|placeholder|example) (?:text|content|copy)(?: here)?", "(?:your |the )?(?:text|content|title|description|name|copy) (?:goes|comes|to be added) ?here", "your (?:text|content|title|name|description) here",
-    "(?:chapter |main |body )?(?:text|content|copy|description|summary) to (?:follow|come)", "(?:insert|add|enter|write|type) (?:your |the |a )?(?:synopsis|description|text|title|content|summary|abstract|caption|name|author|body|image|quote|chapter|paragraph|bio|biography)(?: text)?(?: here)?",
-    "blah(?:[ ,]+blah)*", "texto de (?:ejemplo|muestra|relleno)", "(?:inserte|introduzca|escriba|añada) (?:el |su |aquí el )?(?:texto|título|descripción)(?: aquí)?", "texte (?:à compléter|d['’]exemple|à venir|ici)", "(?:insérer|saisir|insérez|saisissez|votre) (?:le |votre |un )?texte(?: ici)?",
-    "(?:hier )?(?:text|titel|beschreibung|inhalt) (?:hier )?(?:einfügen|eingeben|ergänzen|folgt)", "(?:beispiel|platzhalter|blind|muster)text", "(?:здесь|тут) (?:будет|должен быть|ваш) текст", "(?:пример|образец) текста", "(?:введите|вставьте|добавьте) (?:сюда |здесь )?(?:ваш )?(?:текст|описание|название)(?: сюда| здесь)?", "текст (?:будет|появится) позже",
-    "ここに(?:本文|テキスト|文章|タイトル|説明|文字)を?(?:入力|挿入|記入|追加)(?:してください)?", "(?:サンプル|ダミー)(?:テキスト|文章)", "(?:此处|在此|这里|请在此)(?:处)?(?:填写|输入|插入|添加)(?:正文|文本|内容|标题|描述)", "(?:示例|占位)(?:文本|文字)", "(?:正文|内容)(?:待补充|待续|待定)",
-    "(?:أدخل|اكتب|أضف|ضع) (?:ال)?(?:نص|النص|عنوان|وصف)[ \\p{L}]{0,12}(?:هنا)?", "نص (?:تجريبي|مؤقت|للتعبئة)(?: هنا)?", "(?:النص|نص) (?:هنا|لاحقا|يأتي لاحقا)", "(?:यहाँ|यहां) (?:पाठ|पाठ्य|टेक्स्ट|विवरण|शीर्षक|मूल पाठ)(?: यहाँ)?(?: लिखें| डालें| जोड़ें| दर्ज करें| आएगा)?", "नमूना (?:पाठ|टेक्स्ट)", "(?:δείγμα|παράδειγμα) κειμένου", "(?:εισαγάγετε|προσθέστε|γράψτε) (?:το )?κείμενο(?: εδώ)?", "(?:κείμενο|το κείμενο) εδώ",
-    "(?:asdf|qwerty|foo bar|lorem ipsum|tktk)(?:[ ,.]+(?:asdf|jkl;?|qwerty|foo|bar|baz|lorem|ipsum|tktk))*", "x{3,}(?:\\s+x{3,})*", "tk(?:\\s+tk)*", "tbd|tba|tbc|todo|fixme", "_{4,}(?:\\s+_{4,}){2,}",
-]
-#: What stands for a page that is not there yet.
-STAND_IN = [
-    "coming (?:very )?soon", "(?:this (?:page|site|section|text|chapter) is )?(?:currently |still )?under construction", "(?:this )?page (?:is )?(?:intentionally|deliberately) (?:left )?blank", "this page (?:is |has been )?left blank(?: intentionally)?", "content (?:is )?(?:pending|coming soon|not (?:yet )?available|unavailable)", "no (?:description|content|text|summary|preview|synopsis|information|abstract) (?:is )?(?:available|yet|provided)(?: yet)?", "(?:site|page) (?:is )?(?:down for|under) maintenance", "nothing (?:here|to see here)(?: yet)?",
-    "próximamente", "(?:esta )?página (?:está )?en (?:construcción|obras|preparación|mantenimiento)", "(?:sin|no hay) descripción(?: disponible)?", "bientôt(?: disponible| en ligne)?", "prochainement", "(?:cette )?page (?:est )?en (?:construction|cours de construction|travaux|préparation|maintenance)", "(?:aucune|pas de) description(?: disponible)?",
-    "(?:diese |die )?(?:seite|website)(?: ist| befindet sich)? (?:noch )?(?:in arbeit|im aufbau|in vorbereitung|im bau|in bearbeitung)", "(?:demnächst|in kürze)(?: verfügbar| hier)?", "(?:keine|noch keine) beschreibung(?: verfügbar| vorhanden)?", "(?:эта )?(?:страница|раздел|сайт)(?: находится)? (?:в разработке|на реконструкции|в стадии разработки|готовится)", "(?:скоро|уже скоро)(?: здесь| на сайте| будет)?", "(?:описание|нет описания)(?: отсутствует)?",
-    "(?:ただ今|現在|このページは)?(?:準備中|工事中|作成中|制作中)(?:です)?", "近日(?:公開|掲載|追加)(?:予定)?(?:です)?", "説明(?:は)?(?:ありません|なし)", "(?:敬请|敬請)期待", "(?:即将|即將)(?:推出|上线|开放|发布)", "(?:页面|本页|网站|頁面|该页面)?(?:正在)?(?:建设|建設|施工|制作|维护)中", "(?:暂无|没有)(?:简介|描述|内容|介绍|说明)", "(?:قريبا|قريباً)(?: جدا)?", "(?:هذه )?(?:الصفحة|صفحة|الموقع) (?:قيد|تحت) (?:الإنشاء|الانشاء|التطوير|الإعداد|الصيانة)", "لا (?:يوجد|تتوفر) وصف", "(?:जल्द|शीघ्र)(?: ही)?(?: आ रहा है| आने वाला है| उपलब्ध होगा)?", "(?:यह )?पृष्ठ (?:निर्माणाधीन|निर्माण में|तैयार किया जा रहा)(?: है)?", "(?:σύντομα|έρχεται σύντομα)(?: κοντά σας)?", "(?:η |αυτή η )?σελίδα (?:είναι )?(?:υπό κατασκευή|σε εξέλιξη)",
-]
-_REASON = "bad request|unauthori[sz]ed|payment required|forbidden|not found|method not allowed|not acceptable|request time-?out|conflict|gone|payload too large|uri too long|too many requests|internal server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out"
-_LOST = "seite nicht gefunden|page (?:introuvable|non trouvée)|página no encontrada|página não encontrada|pagina non trovata|страница не найдена|страница не существует|(?:ページ|お探しのページ)(?:が|は)見つかりません(?:でした)?|(?:页面|网页|頁面|您访问的页面)(?:不存在|未找到|找不到)|找不到(?:该)?(?:页面|网页)|الصفحة غير موجودة|لم يتم العثور على الصفحة|(?:पृष्ठ|पेज) नहीं मिला|η σελίδα δεν (?:βρέθηκε|υπάρχει)|page not found|էջը չի գտնվել|ገጹ አልተገኘም"
-_ERROR_WORD = "error|fehler|erreur|ошибка|errore|erro|エラー|错误|錯誤|خطأ|त्रुटि|σφάλμα|սխալ|ስህተት"
-#: Lines of error pages and messages.
-ERRORS = [
-    f"(?:http/\\d(?:\\.\\d)? )?(?:(?:{_ERROR_WORD})[ :#-]{{0,3}})?[1-5]\\d\\d[ .:–—-]{{1,3}}(?:{_REASON}|{_LOST})",
-    f"(?:{_ERROR_WORD})[ :#-]{{0,3}}[45]\\d\\d(?:[ .:–—-]{{1,3}}(?:{_LOST}))?", f"[45]\\d\\d(?: \\(?(?:{_ERROR_WORD})\\)?)", f"(?:{_REASON}|{_LOST})(?: \\(?[45]\\d\\d\\)?)?",
-    "(?:the )?requested (?:url|page|resource)[^\n]{0,120} (?:could not be|was not|cannot be) (?:served|found)[^\n]{0,40}", "access (?:is |to this (?:page|resource|site) (?:is|has been) )?denied(?:[.!] your (?:request|ip|access)[^\n]{0,80})?", "your (?:request|ip(?: address)?|access)[^\n.]{0,20} (?:was|has been|is) blocked[^\n]{0,60}",
-    "(?:your )?session (?:has )?(?:expired|timed out)(?:[.!] (?:please )?(?:sign|log) in[^\n]{0,40})?", "too many requests\\. [^\n]{0,60}", "(?:we(?:’|'| a)re )?sorry,? (?:but )?(?:the|this|that|we)[^\n]{0,60}(?:is no longer (?:here|available)|(?:could not|couldn[’']t|cannot|can[’']t) (?:be found|find[^\n.]{0,30})|does(?: not|n[’']t) exist|not found|is (?:not |un)available)(?:[.!][^\n]{0,120})?",
-    "(?:oops|whoops|uh[- ]oh)[!.,]{0,3} (?:we (?:can|could)[^\n.]{0,4}(?:not|t) find|something went wrong|(?:that|this) (?:page|chapter|book)|(?:page )?not found|an error)[^\n]{0,80}", "(?:an? )?(?:unexpected |application |server |internal |unknown |database )?error(?: (?:has )?occurred|: a (?:server|client)-side exception has occurred)[^\n]{0,60}", "something went wrong[^\n]{0,60}",
-    "(?:database connection failed|error establishing a database connection|could not connect to (?:the )?(?:database|server|host))[^\n]{0,100}", "(?:php )?(?:fatal|parse|syntax) error: [^\n]{0,200}", "(?:php )?(?:warning|notice): [^\n]{0,160} on line \\d+", "traceback \\(most recent call last\\):?", "exception in thread [^\n]{0,120}", "(?:uncaught |unhandled )[a-z]*(?:error|exception)[^\n]{0,120}",
-    "(?:connection|request) (?:timed out|refused|reset by peer)", "this (?:page|site)(?: can[’']?t| cannot| could not) be (?:reached|displayed|found|loaded)[^\n]{0,60}", "(?:the )?(?:page|book|file|chapter|document|text|item)(?: that)?(?: you (?:asked for|requested|are looking for|were looking for))? (?:was not found|could not be found|does not exist|is no longer (?:here|available)|has been (?:moved|removed|deleted))[^\n]{0,80}",
-]
-_SCRIPT = "(?:java ?scripts?|scripts?|cookies?|browser scripts?)"
-#: Notices that scripts or cookies are required.
-NOTICES = [
-    f"(?:please |kindly )?(?:enable|turn on|activate|allow|switch on) {_SCRIPT}[^\n]{{0,80}}", f"(?:you (?:need|have|must)(?: to)?|you[’']ll need to) (?:enable|turn on|activate|allow) {_SCRIPT}[^\n]{{0,80}}", f"(?:{_SCRIPT}(?: and {_SCRIPT})?|enabling {_SCRIPT}) (?:is|are|must be|seems? to be|has to be|have to be)(?: currently)? (?:required|disabled|needed|necessary|switched off|turned off|off|blocked|enabled|allowed|not supported|not enabled)[^\n]{{0,80}}",
-    f"(?:this|the|our) (?:site|page|reader|app|application|website|viewer|service|content|text|library|shelf)[^\n.]{{0,30}} (?:needs?|requires?|uses|works only with|cannot start without|can[’']t (?:run|start) without|cannot be (?:shown|displayed) without) {_SCRIPT}[^\n]{{0,100}}", f"your browser (?:does(?: not|n[’']t) support|has disabled|is blocking|blocks) {_SCRIPT}[^\n]{{0,80}}", f"checking your browser[^\n]{{0,100}}", f"(?:the [^\n.]{{0,50}} )?(?:cannot|can[’']t|could not|won[’']t) (?:start|run|load|work|be (?:shown|displayed|loaded)) without {_SCRIPT}[^\n]{{0,40}}", f"noscript: [^\n]{{0,120}}",
-    "(?:bitte )?(?:aktivieren|erlauben|schalten) sie (?:bitte )?(?:javascript|cookies|skripte)[^\n]{0,80}", "(?:javascript|cookies)(?: und (?:javascript|cookies))? (?:muss|müssen|ist|sind|wird|werden) (?:aktiviert|deaktiviert|erforderlich|benötigt)[^\n]{0,60}", "(?:veuillez |merci d[’'])?(?:activer|activez|autoriser|autorisez) (?:le |les )?(?:javascript|cookies|scripts)[^\n]{0,80}", "(?:le |les )?(?:javascript|cookies) (?:est|sont|doit être|doivent être) (?:requis|nécessaires?|désactivés?|activés?)[^\n]{0,60}",
-    "(?:por favor,? )?(?:active|activa|habilite|habilita|permita) (?:el |las |los )?(?:javascript|cookies|scripts)[^\n]{0,80}", "(?:se requiere|se necesita|es necesario(?: activar)?) (?:el )?(?:javascript|cookies)[^\n]{0,80}", "(?:пожалуйста,? )?(?:включите|разрешите|активируйте) (?:javascript|cookies?|скрипты|файлы cookie|куки)[^\n]{0,80}", "для [^\n]{0,40}(?:требуется|необходим|нужен|включите) (?:javascript|cookies?)[^\n]{0,40}", "(?:このページ[^\n]{0,20})?(?:javascript|cookie|クッキー|スクリプト)を(?:有効|オン|許可)に?(?:して|する)[^\n]{0,30}", "(?:javascript|cookie)が(?:無効|必要|オフ)[^\n]{0,30}",
-    "(?:请|請)(?:先)?(?:启用|啟用|开启|開啟|打开|允许) ?(?:javascript|cookie|脚本)[^\n]{0,40}", "(?:本站|本页|本页面|此页面|本网站)?(?:需要|必须)(?:启用|开启)? ?(?:javascript|cookie|脚本)[^\n]{0,40}", "(?:يرجى|الرجاء|من فضلك) (?:تفعيل|تمكين|السماح) [^\n]{0,12}(?:جافا ?سكريبت|جافاسكريبت|javascript|ملفات تعريف الارتباط|الكوكيز|cookies)[^\n]{0,60}", "(?:कृपया )?(?:जावास्क्रिप्ट|javascript|कुकीज़|कुकी) (?:को )?(?:सक्षम|चालू|सक्रिय)[^\n]{0,40}", "(?:παρακαλώ )?(?:ενεργοποιήστε|επιτρέψτε) (?:το |τη |τα )?(?:javascript|cookies)[^\n]{0,60}", "(?:խնդրում ենք )?(?:միացնել|միացրեք) (?:javascript|cookies?)[^\n]{0,60}",
-]
-#: Words of pseudo-Latin filler, by their beginnings.
-LATIN = "lorem|ipsum|dolor|amet|consec|adipisc|eiusmod|tempor|tempus|incididunt|labor|dolore|magn|aliqu|minim|veniam|quis|nostrud|ullamco|commodo|velit|nulla|mollit|ornat|festin|vari[aeu]|porta|cupidat|proident|culpa|officia|deserunt|sed|elit|sit|vestibul|pellentesq|curabit|suspendiss|maecen|phasell|praesent|vivamus|fermentum"
-_IN, _AFTER = "[\\s\\[(<{*#>«\"“_-]{0,8}", "(?: ?\\([^()\n]{1,40}\\))?[\\s\\])>}.!…:*。！\"”»_-]{0,8}"
-_TODO = "(?:(?:todo|fixme|tbd|note|tk)[ :–-]{1,3})?"
+SLOT = f"(?=[{{$#<&@_%\\[*])(?<![\"“‘'`«])(?:{'|'.join(f'(?:{p})' for p in SLOTS)})(?![\"”’'`»])"
 
+#: Words of the pseudo-Latin passage that fillers are made from, by their beginnings; four of them stand close together.
+ANCHORS = "lorem|ipsum|dolor|amet|consec|adipisc|eiusmod|tempor|tempus|incididunt|labor[eio]|aliqu|veniam|nostrud|ullamco|commodo|velit|nulla|mollit|cupidat|proident|officia|deserunt|vestibul|pellentesq|curabit|suspendiss|maecen|phasell|praesent|vivamus"
+LATIN_RUN = f"(?<!\\p{{L}})(?=[lidaceptnuvmos])(?:{ANCHORS})\\p{{L}}{{0,8}}(?:[\\s,.;:]+(?:\\p{{L}}+[\\s,.;:]+){{0,3}}?(?:{ANCHORS})\\p{{L}}{{0,8}}){{3}}"
+USUAL_LATIN = ["ipsum", "lorem", "dolor", "amet", "consec", "velit", "tempor", "aliqu", "adipisc"]
+LEADERS = "\\A[\\s._*=~-]{12,}\\z(?<=[._*=~-]\\s{0,40})"
+#: A line of nothing but tokens that stand for text to come.
+_TOKEN = "(?:x{3,}|blah|bla|tk|tktk|tbd|tba|tbc|todo|fixme|asdf|asdfgh|jkl|qwerty|foo|bar|baz|n/a|_{4,})"
+TOKENS = f"(?m)^[\\s\\[(<{{*\"“-]{{0,8}}(?:{_TOKEN}(?![\\p{{L}}_])[\\s,.;:!…–-]*)+[\\])>}}*\"”\\s]{{0,8}}$"
 
-def _any(patterns: list[str]) -> str:
-    return "|".join(f"(?:{p})" for p in patterns)
+#: Messages of programs, by their form: a status line, a stack's frame, a place in a source.
+STATUS = "(?:http/\\d(?:\\.\\d)?\\s+)?[45]\\d\\d"
+PROGRAM = "(?m)^\\s{0,8}(?:traceback \\(most recent call last\\)|file \"[^\"\n]+\", line \\d+|at [\\p{L}\\p{N}_$.<>]+\\([^()\n]*:\\d+\\)|(?:uncaught |unhandled )?(?:[\\p{L}_]+[.:])*[\\p{L}_]*(?:error|exception): \\S|exception in thread )| in /?\\S{1,200} on line \\d+[.\\s]*$"
 
+#: Ideas of which one must be there for a line to be looked at; the others only say what the line is about.
+LEADING = frozenset({"script", "human", "failure", "refusal", "absence", "offer", "waiting", "verb", "stand_in_for", "code"})
+#: Scripts that put no spaces between words.
+_D = "฀-๿぀-ヿ㐀-鿿가-힣"
+_DENSE = regex.compile(f"[{_D}]+")
+_STATUS = r"(?<![\p{N}.#:/-])[45]\d\d(?![\p{N}.,:-]?\p{N})"
+_WORD = regex.compile(f"[{_D}]+|(?:(?![{_D}])[\\p{{L}}\\p{{M}}])+|{_STATUS}")
+_SPACED = regex.compile(f"[\\p{{L}}\\p{{M}}]+|{_STATUS}")
+_ASCII = re.compile(r"[A-Za-z]+|(?<![\d.#:/-])[45]\d\d(?![\d.,:-]?\d)")
+#: Mark-up, addresses, names of files and functions, names in quotation marks or in brackets at the end: the message's own data.
+_DATA = regex.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]*=[^<>]*)?/?>|https?://\S+|\S*[/\\]\S+[/\\.]\S*|[\p{L}\p{N}_]+\(\)|(?<![\p{L}\p{N}])['\"‘“][\p{L}\p{N}_.-]+['\"’”]|#[\p{N}.]+|(?<=\S\s)\([^()\s]+\)\s*$")
 
-def _lines(patterns: list[str], repeated: bool = False) -> str:
-    one = f"(?:{_any(patterns)})"
-    return f"(?m)^{_IN}(?:<noscript>\\s*)?{_TODO}{one}" + (f"(?:[\\s.!…,;。\\])>-]{{1,4}}{_IN}{_TODO}{one})*" if repeated else "") + f"{_AFTER}(?:</noscript>)?{_AFTER}$"
 
+def words_of(text: str) -> list[str]:
+    """Words, runs of dense scripts and status codes, in their order."""
+    return (_ASCII if text.isascii() else _WORD if _DENSE.search(text) else _SPACED).findall(text)
+
+
+_MAY_HOLD_DATA = re.compile(r"[<>/\\(#]|['\"‘“]\S+['\"’”]")
+_PATH = regex.compile(r"(?<!\S)/[\p{L}\p{N}_./-]{3,}")
+
+
+class Ideas:
+    """The lexicon, ready for looking words up: single words, beginnings, words that go together, and dense scripts."""
+
+    def __init__(self) -> None:
+        self.word: dict[str, str | None] = dict.fromkeys(NEUTRAL, "")
+        self.stems: dict[str, str] = {}
+        self.phrases: dict[str, list[tuple[tuple[str, ...], str]]] = {}
+        self.dense: dict[str, str] = {w: "" for w in NEUTRAL if _DENSE.search(w)}
+        self.known: dict[str, str | None] = {}
+        self.quiet: set[str] = set()  # words seen that make no line worth a look
+        for idea, words in TERMS.items():
+            for w in words:
+                if _DENSE.search(w):
+                    self.dense[w.replace(" ", "")] = idea
+                    continue
+                parts = tuple(words_of(w))
+                if len(parts) > 1:
+                    self.phrases.setdefault(parts[0], []).append((parts, idea))
+                elif w.endswith("*"):
+                    self.stems.setdefault(parts[0], idea)
+                elif self.word.get(parts[0]) in (None, ""):
+                    self.word[parts[0]] = idea
+        for of in self.phrases.values():
+            of.sort(key=lambda x: -len(x[0]))
+        self.longest, self.shortest = max(map(len, self.stems)), min(map(len, self.stems))
+        self.reach = max(map(len, self.dense))
+        self.web, self.web_stems = frozenset(w for w in WEB if w[-1] != "*"), tuple(w[:-1] for w in WEB if w[-1] == "*")
+
+    def of(self, word: str) -> str | None:
+        """The idea of a word; '' for one that says nothing, None for one that is not known."""
+        if word in self.known:
+            return self.known[word]
+        idea = "code" if word[0] in "45" and word.isdecimal() else self.word.get(word)
+        if idea is None:
+            idea = next((self.stems[word[:n]] for n in range(min(self.longest, len(word)), self.shortest - 1, -1) if word[:n] in self.stems), None)
+        if len(self.known) > 500_000:
+            self.known.clear()
+        self.known[word] = idea
+        return idea
+
+    def leads(self, words: list[str]) -> bool:
+        """Whether one of the words makes the line worth a look."""
+        for w in {*words} - self.quiet:
+            if _DENSE.match(w):
+                if any(i in LEADING or i == "place" for i, _ in self.parts(w)):
+                    return True
+            elif self.of(w) in LEADING or w in self.web or w in self.phrases or w.startswith(self.web_stems):
+                return True
+            if len(self.quiet) > 500_000:
+                self.quiet.clear()
+            self.quiet.add(w)
+        return False
+
+    def parts(self, run: str) -> list[tuple[str | None, int]]:
+        """A run of a dense script as ideas and numbers of letters, the longest terms first."""
+        out, i = [], 0
+        while i < len(run):
+            for n in range(min(self.reach, len(run) - i), 0, -1):
+                if (idea := self.dense.get(run[i : i + n])) is not None:
+                    out.append((idea, n))
+                    i += n
+                    break
+            else:
+                out.append((None, 1))
+                i += 1
+        return out
+
+    def measure(self, line: str) -> tuple[dict[str, int], float, int]:
+        """How often each idea occurs in a line, how many letters no idea covers (those of dense scripts weigh three), and
+        how many words say nothing."""
+        words = words_of(_DATA.sub(" ", line) if _MAY_HOLD_DATA.search(line) else line)
+        found: dict[str, int] = {}
+        rest, empty, i, n = 0.0, 0, 0, 0
+        spaced = _DENSE.search(line) is None
+        while i < len(words):
+            if spaced and max(rest / 5, empty / 2.5) > n + len(words) - i:
+                return {}, rest, empty  # whatever follows, it is too little
+            w = words[i]
+            step = 1
+            idea = self.of(w)
+            for parts, of in self.phrases.get(w, ()):
+                if tuple(words[i : i + len(parts)]) == parts:
+                    idea, step = of, len(parts)
+                    break
+            if idea is None and _DENSE.match(w):
+                for part, _ in self.parts(w):
+                    if part is None:
+                        rest += 3
+                    elif part:
+                        found[part] = found.get(part, 0) + 1
+            elif idea is None:
+                rest += len(w)
+            elif idea:
+                found[idea] = found.get(idea, 0) + 1
+            else:
+                empty += 1
+            i += step
+            n = sum(found.values())
+        return found, rest, empty
+
+
+@functools.cache
+def ideas() -> Ideas:
+    return Ideas()
 
-DETECTORS = {
-    "slot": f"(?=[{{$#<&@_%\\[])(?<![\"“‘'`«])(?:{_any(SLOTS)})(?![\"”’'`»])",
-    "filler": _lines(FILLER, repeated=True),
-    "error": _lines(ERRORS, repeated=True),
-    "stand_in": _lines(STAND_IN),
-    "notice": _lines(NOTICES, repeated=True),
-}
-#: Five words of pseudo-Latin one after another, where the text has one of the usual ones; and texts of leaders alone.
-USUAL_LATIN = ["ipsum", "lorem", "dolor", "amet", "consec", "velit", "tempor", "aliqu"]
-LATIN_RUN = f"(?<![\\p{{L}}])(?=[a-v])(?:(?:{LATIN})\\p{{L}}{{0,8}}[\\s,.;]+){{5}}"
-LEADERS = "\\A[\\s._*=~-]{12,}\\z(?<=[._*=~-]\\s{0,40})"
-#: Soft terms of error pages, for responses that only the evidence of several hosts shows.
-SOFT = f"{_REASON}|{_LOST}|error|denied|blocked|expired|unavailable|not available|no longer|try again|sign in|log in|captcha|are you (?:a )?(?:human|robot)|javascript|cookies"
 
+def line_kind(line: str) -> str | None:
+    """What a line (in lower case) is: 'notice', 'error', 'filler', 'stand_in', or 'weak' where only evidence can tell, else None.
 
-def residue(df: DataFrame, doc: str, text: str, host: str | None = None, address: str | None = None, most_letters: int = 300, copies: int = 20, hosts: int = 3) -> DataFrame:
+    An idea weighs as much as five letters that no idea covers; ideas must be three in ten of the words they
+    stand among. A line that tells a story is none.
+    """
+    has, rest, empty = ideas().measure(line)
+    n = sum(has.values())
+    if not n or n < 0.3 * (n + empty) or "story" in has:
+        return None
+    covered, different, alone = 5 * n / (5 * n + rest), len(has), rest == 0
+    h = has.__contains__
+    notice = h("script") and (h("need") or h("negation") or h("human") or h("refusal")) or h("human") and (h("need") or h("place") or h("remedy") or h("negation") or h("finding") or has["human"] > 1)
+    lost = h("negation") and h("place") and (h("finding") or h("offer") or h("remedy") or h("refusal")) or h("absence") and (h("place") or h("remedy") or h("failure") or h("code") or alone)
+    failed = (h("failure") or h("refusal") or h("code")) and different >= 2
+    stand_in = h("waiting") and (h("place") or h("noun") or h("remedy") or alone) or h("negation") and h("noun") and h("offer")
+    filler = h("stand_in_for") and (h("noun") or h("place") or alone) or (h("noun") or h("place")) and h("verb") and (h("here") or alone) or h("verb") and h("here") and alone
+    if covered >= 0.6 and notice:
+        return "notice"
+    if covered >= 0.65 and (lost or failed):
+        return "error"
+    if covered >= 0.8 and filler:
+        return "filler"
+    if covered >= 0.65 and stand_in:
+        return "stand_in"
+    weak = any(map(h, ("failure", "refusal", "absence", "waiting", "stand_in_for", "verb"))) or h("code") and alone
+    return "weak" if covered >= 0.5 and (weak or notice or lost or failed) else None
+
+
+def _hash(*parts: str) -> int:
+    return xxhash.xxh3_64_intdigest("\0".join(parts)) - (1 << 63)
+
+
+def _size(words: list[str]) -> int:
+    """How many words there are; three letters of a dense script count as one."""
+    return sum(-(-len(w) // 3) if _DENSE.match(w) else 1 for w in words)
+
+
+_TERM = regex.compile(r"[\p{L}\p{M}]+|\p{N}+")
+
+
+def _terms(text: str) -> list[str]:
+    """The words of a text; numbers are all alike."""
+    return ["0" if w[0].isnumeric() else w for w in _TERM.findall(text)]
+
+
+def _stands(word: str, text: str) -> bool:
+    return regex.search(rf"(?<![\p{{L}}\p{{M}}]){word}(?![\p{{L}}\p{{M}}])", text) is not None
+
+
+UNITS = "d long, h long, u long, reasons array<string>, k long, words int, share double"
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (d, t, h, a, given, told) to what is told of each, with the responses that evidence is gathered for."""
+    known = ideas()
+    for batch in batches:
+        out: list[tuple] = []
+        for d, text, host, address, given, told in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            lines = [x for x in text.split("\n") if x.strip()]
+            found = {}
+            for x in lines:
+                if known.leads(words_of(x)) and (kind := line_kind(x)):
+                    found.setdefault(kind, []).append(x)
+            reasons = sorted({*told, *found} - {"weak"})
+            title, body = (given, text) if given is not None else (lines[0], text[text.find(lines[0]) + len(lines[0]) :]) if len(lines) > 1 else ("", text)
+            named = address or (m[0] if (m := _PATH.search(text)) else "")
+            under, host = _hash(title, named), _hash(host or "")
+            rows = []
+            if len(title) <= len(body) and (told_by := [w for w in {*_terms(title), *_terms(named)} if len(w) > 1]):
+                body = _PATH.sub(" ", body)
+                if not any(w in body and _stands(w, body) for w in told_by) and (words := _terms(body)):
+                    rows.append((_hash(" ".join(words)), _size(words), 0.0))
+            for x in dict.fromkeys(found.get("weak", ())):
+                w = _terms(x)
+                rows.append((_hash("line", " ".join(w)), _size(w), len(x) / len(text)))
+            if not rows and reasons:
+                rows = [(None, None, None)]
+            out += [(d, host, under, reasons, *r) for r in rows]
+        if out:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["d", "h", "u", "reasons", "k", "words", "share"])
+
+
+def residue(df: DataFrame, doc: str, text: str, host: str | None = None, address: str | None = None, title: str | None = None) -> DataFrame:
     """``doc, reasons``: each text that is or holds residue, with the sorted names of what found it.
 
-    ``reasons`` are the detectors ('slot', 'filler', 'error', 'stand_in', 'notice') and 'repeated' for a response of
-    at most ``most_letters`` letters with a soft term that its address lacks, found ``copies`` times on ``hosts``
-    hosts. Null and blank texts are no cases; a null host counts as none; repeated rows give one row; an empty table
-    gives no rows; other columns are ignored. Whole texts are scanned; only short ones with a soft term are shuffled.
+    ``reasons`` are the detectors ('slot', 'filler', 'error', 'stand_in', 'notice') and 'repeated' for what combined
+    evidence shows. Evidence is gathered for whole responses (the text without its title, which is the first line unless
+    there is a column for it) whose words neither the title nor the slug of the address shares (a column, or the path
+    that the text names), and for lines that show an idea but not enough of it. ``log2(hosts) + log2(titles)`` over all
+    that have the same words, numbers aside, stands against ``log2(1 + words)`` that they say: a whole response must
+    stand on two hosts and under two titles at least and outweigh its own words, a line on two hosts or under two
+    titles, with the more weight the more of the text it is.
+
+    Null and blank texts are no cases; a null host counts as none; repeated rows give one row; an empty table gives no
+    rows; other columns are ignored. Texts are scanned once; of each text only hashes and numbers are written to the
+    shared folder and shuffled. Nothing is limited in length or number.
     """
     low = F.regexp_replace(F.lower(F.col(text)), "[\\x{a0}\\x{202f}\\x{3000}\\r]", " ")
     nothing = F.lit(None).cast("string")
-    rows = df.where(F.col(text).isNotNull()).select(F.col(doc).alias("d"), F.explode(F.array(low)).alias("t"), (F.col(host) if host else nothing).alias("h"), (F.lower(F.col(address)) if address else nothing).alias("a"))
-    tests = {n: F.col("t").rlike(p) for n, p in DETECTORS.items()}
-    tests["filler"] = tests["filler"] | F.col("t").rlike(LEADERS) | (reduce(lambda a, b: a | b, [F.col("t").contains(w) for w in USUAL_LATIN]) & F.col("t").rlike(LATIN_RUN))
-    found = rows.select("d", F.array_compact(F.array(*(F.when(test, n) for n, test in tests.items()))).alias("reasons")).where(F.size("reasons") > 0)
-
-    short = rows.where((F.length("t") <= most_letters) & F.col("t").rlike(SOFT))
-    slug = F.array_remove(F.split(F.regexp_replace(F.coalesce("a", F.lit("")), "[^\\p{L}\\p{N}]+", " "), " "), "")
-    body = F.split(F.regexp_replace("t", "[^\\p{L}\\p{N}]+", " "), " ")
-    short = short.where(~F.arrays_overlap(slug, body)).withColumn("k", F.xxhash64(F.regexp_replace("t", "\\p{N}+", "0")))
-    counted = short.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("m"))
-    again = short.join(counted.where((F.col("n") >= copies) & (F.col("m") >= hosts)).select("k"), "k", "left_semi").select("d", F.array(F.lit("repeated")).alias("reasons"))
-    both = found.unionByName(again).select("d", F.explode("reasons").alias("x")).distinct()
-    return both.groupBy("d").agg(F.array_sort(F.collect_set("x")).alias("reasons")).withColumnRenamed("d", doc)
+    rows = df.where(F.col(text).isNotNull()).select(F.col(doc).alias("d"), F.explode(F.array(low)).alias("t"), (F.col(host) if host else nothing).alias("h"), (F.lower(F.col(address)) if address else nothing).alias("a"), (F.lower(F.col(title)) if title else nothing).alias("given"))
+    latin = reduce(lambda a, b: a | b, [F.col("t").contains(w) for w in USUAL_LATIN]) & F.col("t").rlike(LATIN_RUN)
+    tests = {"slot": F.col("t").rlike(SLOT), "filler": F.col("t").rlike(TOKENS) | F.col("t").rlike(LEADERS) | latin, "error": F.col("t").rlike(PROGRAM)}
+    told = F.array_compact(F.array(*(F.when(test, n) for n, test in tests.items())))
+    seen = cut(rows.where(F.trim("t") != "").select(F.col("d").cast("long").alias("d"), "t", "h", "a", "given", told.alias("told")).mapInArrow(_units, UNITS))
+
+    many = seen.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    again = seen.where("k is not null").join(many, "k", "left_semi")
+    spread = again.groupBy("k").agg(F.log2(F.approx_count_distinct("h")).alias("hosts"), F.log2(F.approx_count_distinct("u")).alias("titles"))
+    evidence, says = F.col("hosts") + F.col("titles"), F.log2(F.col("words") + 1.0)
+    whole = (F.col("share") == 0) & (F.least("hosts", "titles") >= 1) & (evidence > says)
+    line = (F.col("share") > 0) & (F.greatest("hosts", "titles") >= 1) & (F.col("share") * (2 + evidence) > says)
+    repeated = again.join(spread, "k").where(whole | line).select("d", F.array(F.lit("repeated")).alias("reasons"))
+    found = seen.where("size(reasons) > 0").select("d", "reasons").unionByName(repeated)
+    return found.groupBy("d").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))).alias("reasons")).withColumnRenamed("d", doc)

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 
-from quireframe.llm.residue import residue
+from quireframe.llm.residue import ideas, line_kind, residue, words_of
 
 PROSE = "The lamp was lit and the house was quiet. Nobody came to the door that night."
 SCHEMA = "id long, t string, h string, a string"
@@ -41,13 +43,36 @@ def test_what_only_speaks_of_it(spark):
     assert reasons(spark, *texts) == [[]] * len(texts)
 
 
-def test_several_hosts_again_and_again(spark):
-    soft = "Session {} could not go on, please try again later"
-    data = [(i, soft.format(i), f"h{i % 4}", "/books/alice") for i in range(24)] + [(100 + i, soft.format("x") + " once more", f"h{i % 4}", None) for i in range(5)]
-    data += [(200 + i, f"How to try again, part {i}", f"h{i % 4}", "/try-again") for i in range(24)] + [(300 + i, f"Page {i}: try again", "h1", None) for i in range(24)]
+HERE = Path(__file__).parent
+
+
+def test_paraphrases_in_many_languages():
+    """459 everyday messages that no detector has as such; prose that only speaks of such things is none."""
+    known = ideas()
+    kind = lambda x: line_kind(x) if known.leads(words_of(x)) else None
+    lines = (HERE / "residue_paraphrases.txt").read_text().lower().splitlines()
+    assert len(lines) > 450 and sum(kind(x) not in (None, "weak") for x in lines) >= 0.85 * len(lines)
+    assert [x for x in (HERE / "residue_prose.txt").read_text().lower().splitlines() if kind(x) not in (None, "weak")] == []
+
+
+def test_one_response_under_many_titles(spark):
+    """A response in words of no language, under titles and addresses it shares no word with, on several hosts."""
+    soft = "Zorp {} quib nar flem"
+    data = [(i, f"Page of Tome{i}\n\n{soft.format(i)}", f"h{i % 4}", None) for i in range(12)]
+    data += [(100 + i, soft.format(i), f"h{i % 4}", f"/books/alice-{i}") for i in range(12)]  # the slug stands for a title
+    data += [(200 + i, f"A quib\n\n{soft.format(i)} once", f"h{i % 4}", None) for i in range(12)]  # the title is about it
+    data += [(300 + i, f"Title {i}\n\nPlom quint {i} tars nop", "h1", None) for i in range(12)]  # one host
+    data += [(400 + i, "Same title\n\nVor tull has nim", f"h{i % 4}", None) for i in range(12)]  # copies
+    data += [(500 + i, f"Tome{i}\n\n" + " ".join(f"w{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(300)), f"h{i % 4}", None) for i in range(12)]  # it says more than its titles show
     df = spark.createDataFrame(data, SCHEMA)
     got = {r["id"]: r["reasons"] for r in residue(df, "id", "t", "h", "a").collect()}
-    assert got == {i: ["repeated"] for i in range(24)}
+    assert got == {i: ["repeated"] for i in [*range(12), *range(100, 112)]}
+
+
+def test_one_idea_needs_evidence(spark):
+    data = [(i, "Forbidden", f"h{i}", None) for i in range(3)] + [(10, "Denied", "h", None), (11, PROSE + "\nForbidden\n" + PROSE * 3, "h9", None)]
+    got = {r["id"] for r in residue(spark.createDataFrame(data, SCHEMA), "id", "t", "h", "a").collect()}
+    assert got == {0, 1, 2}
 
 
 def test_edges(spark, rows):
