@@ -81,6 +81,16 @@ def unstable_class() -> str:
     return _ranges(sorted({*no, *maybe}))
 
 
+@functools.cache
+def _marks() -> str:
+    """A Java character class of all marks that have a place in the canonical order."""
+    return _ranges([cp for cp in range(0x300, 0x20000) if unicodedata.combining(chr(cp))])
+
+
+def _python(java: str) -> str:
+    return re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", java)
+
+
 #: Ends of lines and pages, which come out as line ends.
 _BREAKS = "\x0b\x0c\x85\u2028\u2029"
 
@@ -94,8 +104,7 @@ def _gone() -> frozenset[str]:
 
 @functools.cache
 def _python_unstable() -> re.Pattern[str]:
-    java = unstable_class()
-    cls = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", java)
+    cls = _python(unstable_class())
     inv = "".join(f"\\U{ord(c):08x}" for c in sorted(_gone()))
     return re.compile(f"[{cls}{_COMPATIBLE}]+|(?P<gone>[{inv}]+)|(?P<apo>[{re.escape(APOSTROPHES)}])|(?P<hyp>[{re.escape(HYPHENS)}])")
 
@@ -122,13 +131,14 @@ def _changed(keep_space: bool) -> tuple[dict[str, str], list[int]]:
 def _passes(keep_space: bool) -> tuple[re.Pattern[str], dict[str, str], re.Pattern[str]]:
     """The two passes over a text. Each begins with one class, which a search runs through fastest."""
     by, norm = _changed(keep_space)
-    replaced, unstable = (re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", _ranges(x)) for x in (sorted(map(ord, by)), norm))
-    return re.compile(f"[{replaced}]"), by, re.compile(f"[{unstable}][{unstable}]*")
+    replaced, unstable, marks = _python(_ranges(sorted(map(ord, by)))), _python(_ranges(norm)), _python(_marks())
+    # Two marks side by side may be in the wrong order, though each is stable by itself.
+    return re.compile(f"[{replaced}]"), by, re.compile(f"[{unstable}][{unstable}]*|[{marks}][{marks}]+")
 
 
 @functools.cache
-def _odd_class() -> str:
-    """A Java character class of all that ``spliced`` changes in a text whose white space is kept."""
+def odd_class() -> str:
+    """A Java character class of all characters that ``spliced`` may change in a text whose white space is kept."""
     by, norm = _changed(True)
     return _ranges(sorted({*map(ord, by), *norm}))
 
@@ -202,14 +212,14 @@ def plain_word(word: str, script: str | None) -> str:
 def main_script(text: Column) -> Column:
     """The script a text is in: 'latin' unless other letters outnumber Latin ones, then the one most of them are from.
 
-    A text without letters counts as Latin, null gives null. The passes over a text end with the first script that has
-    more than half of the other letters.
+    A text without letters counts as Latin, null gives null. Letters alone are counted, so digits and marks decide nothing.
+    The passes over a text end with the first script that has more than half of the other letters.
     """
     rest = F.regexp_replace(text, "[\\x{0}-\\x{24f}\\x{2000}-\\x{206f}\\x{3000}-\\x{303f}\\x{ff00}-\\x{ff65}]+", "")
     latin = F.length(F.regexp_replace(text, f"[^{SCRIPTS['latin']}]+", ""))
     count = {n: F.length(F.regexp_replace(rest, f"[^{c}]+", "")) for n, c in SCRIPTS.items() if n != "latin"}
     most = F.array_max(F.array(*(F.struct(n.alias("n"), F.lit(s).alias("s")) for s, n in count.items())))["s"]
-    which = F.when(text.isNull(), None).when(F.length(rest) * 10 < F.length(text), "latin").when(latin >= F.length(rest), "latin")
+    which = F.when(text.isNull(), None).when(F.length(rest) == 0, "latin").when(latin >= F.length(rest), "latin")
     for s in ("ideographic", "cyrillic", "arabic", "devanagari", "greek", "ethiopic", "armenian", "hangul", "hebrew", "thai", "georgian"):
         which = which.when(count[s] * 2 > F.length(rest), s)
     return which.otherwise(most)
@@ -236,7 +246,7 @@ def suspect(word: Column) -> Column:
     mixed = word.rlike(f"[{latin}]") & word.rlike(f"[{other}]")
     ascii_alike = "".join(sorted(c for c in alike if c.isascii()))
     odd = word.rlike("[`\\x{0}-\\x{20}\\x{7f}]")
-    return F.when(word.rlike("[^\\x{0}-\\x{7e}]"), word.rlike(f"[^{_settled()}]") | mixed | whole).otherwise(word.rlike(f"^[{ascii_alike}'-]+$") | odd)
+    return F.when(word.rlike("[^\\x{0}-\\x{7e}]"), word.rlike(f"[^{_settled()}]|[{_marks()}]{{2}}") | mixed | whole).otherwise(word.rlike(f"^[{ascii_alike}'-]+$") | odd)
 
 
 @F.pandas_udf(StringType())
@@ -312,6 +322,6 @@ def canonical_texts(df: DataFrame, text: str) -> DataFrame:
     """``df`` with ``text`` in plain form, look-alikes in the script of most letters of the text; texts that pass the
     quick check never leave the JVM's columns changed. Those without Cyrillic, Greek or Armenian letters have none."""
     alike = SCRIPTS["cyrillic"] + SCRIPTS["greek"] + SCRIPTS["armenian"]
-    odd = f"[{_odd_class()}{alike}]"
+    odd = f"[{odd_class()}{alike}]|[{_marks()}]{{2}}"
     stable = df.where(F.coalesce(~F.col(text).rlike(odd), F.lit(True)))
     return stable.unionByName(df.where(F.col(text).rlike(odd)).withColumn(text, canonical(F.col(text), main_script(F.col(text)))))

@@ -98,33 +98,39 @@ _WIDE = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i
 _KANA = "ｦｧｨｩｪｫｬｭｮｯｰｱｲｳｴｵｶｷｸｹｺｻｼｽｾｿﾀﾁﾂﾃﾄﾅﾆﾇﾈﾉﾊﾋﾌﾍﾎﾏﾐﾑﾒﾓﾔﾕﾖﾗﾘﾙﾚﾛﾜﾝ", "ヲァィゥェォャュョッーアイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワン"
 
 
-def _alike(script: str, strict: bool) -> tuple[str, str]:
-    table = plain._tables(script)[0 if strict else 1]
-    return "".join(table), "".join(table.values())
+# The SQL has tables of its own, so that a wrong one in the operator shows.
+_TO = {
+    "latin": (("асеорухіјѕАВСЕНІЈКМОРЅТХУονΑΒΕΖΗΙΚΜΝΟΡΤΥΧօ", "aceopyxijsABCEHIJKMOPSTXYovABEZHIKMNOPTYXo"), ("һԛԝӏαικρυχγսոհցզյ", "hqwlaikpuxyunhgqj")),
+    "cyrillic": (("aceopyxijsABCEHIJKMOPSTXY", "асеорухіјѕАВСЕНІЈКМОРЅТХУ"), ("hqwl", "һԛԝӏ")),
+    "greek": (("ovABEZHIKMNOPTYX", "ονΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"), ("aikpuxy", "αικρυχγ")),
+    "armenian": (("o", "օ"), ("unhgqj", "սոհցզյ")),
+}
+_SCRIPT = {"latin": "\\p{Latin}", "cyrillic": "\\p{Cyrillic}", "greek": "\\p{Greek}", "armenian": "\\p{Armenian}"}
+_QUOTES, _DASHES = "‘’‛ʼʻʹˈ′´`＇Ꞌꞌ", "‐‑‒−﹣－⁃֊"
 
 
 def _clean_sql(script: str) -> str:
-    (a, b), (x, y) = _alike(script, True), _alike(script, False)
-    return f"CASE WHEN regexp_matches(x, '[{plain.SCRIPTS[script]}]') THEN nfc_normalize(translate(x, '{x}', '{y}')) WHEN regexp_full_match(x, '[{a}\\P{{L}}]+') THEN translate(x, '{a}', '{b}') ELSE x END"
+    (a, b), (x, y) = _TO[script]
+    return f"CASE WHEN regexp_matches(x, '{_SCRIPT[script]}') THEN nfc_normalize(translate(x, '{a}{x}', '{b}{y}')) WHEN regexp_full_match(x, '[{a}\\P{{L}}]+') THEN translate(x, '{a}', '{b}') ELSE x END"
 
 
 def _p5_sql() -> str:
-    others = {n: f"length(regexp_replace(rest, '[^{plain.SCRIPTS[n]}]+', '', 'g'))" for n in ("cyrillic", "greek", "armenian")}
+    count = {n: f"length(regexp_replace(content, '[^{c}]+', '', 'g'))" for n, c in _SCRIPT.items()}
     ligatures = "x0"
-    for cp in range(0xFB00, 0xFB07):
-        ligatures = f"replace({ligatures}, '{chr(cp)}', '{('ff', 'fi', 'fl', 'ffi', 'ffl', 'st', 'st')[cp - 0xFB00]}')"
+    for one, many in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
+        ligatures = f"replace({ligatures}, '{one}', '{many}')"
     return f"""
-WITH r AS (SELECT book_id, content, regexp_replace(content, '[\\x{{0}}-\\x{{24f}}\\x{{2000}}-\\x{{206f}}\\x{{3000}}-\\x{{303f}}\\x{{ff00}}-\\x{{ff65}}]+', '', 'g') AS rest, length(regexp_replace(content, '[^{plain.SCRIPTS['latin']}]+', '', 'g')) AS lat FROM book),
-b AS (SELECT book_id, CASE WHEN content IS NULL THEN NULL WHEN length(rest) * 10 < length(content) OR lat >= length(rest) THEN 'latin' {' '.join(f"WHEN {n} * 2 > length(rest) THEN '{k}'" for k, n in others.items())} ELSE 'other' END AS script FROM r),
+WITH r AS (SELECT book_id, content, length(regexp_replace(content, '[^\\p{{L}}]+', '', 'g')) AS letters, {', '.join(f'{c} AS {n}' for n, c in count.items())} FROM book),
+b AS (SELECT book_id, CASE WHEN content IS NULL THEN NULL WHEN latin * 2 >= letters THEN 'latin' {' '.join(f"WHEN {n} * 2 > letters - latin THEN '{n}'" for n in ("cyrillic", "greek", "armenian"))} ELSE 'other' END AS script FROM r),
 t AS (SELECT DISTINCT book_id, tok_start, ttype FROM token WHERE ttype IS NOT NULL),
-u AS (SELECT *, translate(translate(translate(regexp_replace(ttype, '[\\p{{Cf}}\\p{{Z}}\\p{{Cc}}]+', '', 'g'), '{plain.APOSTROPHES}{plain.HYPHENS}', '{"''" * len(plain.APOSTROPHES)}{'-' * len(plain.HYPHENS)}'), '{_WIDE[0]}', '{_WIDE[1]}'), '{_KANA[0]}', '{_KANA[1]}') AS x0 FROM t),
+u AS (SELECT *, translate(translate(translate(regexp_replace(ttype, '[\\p{{Cf}}\\p{{Z}}\\p{{Cc}}]+', '', 'g'), '{_QUOTES}{_DASHES}', '{"''" * len(_QUOTES)}{'-' * len(_DASHES)}'), '{_WIDE[0]}', '{_WIDE[1]}'), '{_KANA[0]}', '{_KANA[1]}') AS x0 FROM t),
 v AS (SELECT u.*, nfc_normalize({ligatures}) AS x, script FROM u LEFT JOIN b ON b.book_id = u.book_id),
-w AS (SELECT book_id, tok_start, ttype, CASE script WHEN 'latin' THEN {_clean_sql('latin')} WHEN 'cyrillic' THEN {_clean_sql('cyrillic')} WHEN 'greek' THEN {_clean_sql('greek')} WHEN 'armenian' THEN {_clean_sql('armenian')} ELSE x END AS clean FROM v)
+w AS (SELECT book_id, tok_start, ttype, CASE script {' '.join(f"WHEN '{n}' THEN {_clean_sql(n)}" for n in _TO)} ELSE x END AS clean FROM v)
 SELECT DISTINCT book_id, tok_start, clean FROM w WHERE clean <> ttype"""
 
 
 def _reduced_sql(text: str) -> str:
-    return f"translate(regexp_replace(nfc_normalize(lower(translate({text}, '{_WIDE[0]}', '{_WIDE[1]}'))), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '{''.join(leaks.ALIKE)}', '{''.join(leaks.ALIKE.values())}')"
+    return f"translate(regexp_replace(nfc_normalize(lower(translate({text}, '{_WIDE[0]}', '{_WIDE[1]}'))), '[^\\p{{L}}\\p{{N}}]', '', 'g'), 'асеорухіјѕһԛԝвнкмтονρυαβεζηικμτχօ', 'aceopyxijshqwbhkmtovpuabezhikmtxo')"
 
 
 SQL: dict[str, str] = {

@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import random
+import re
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from quireframe.llm.plain import canonical_texts, main_script, plain_tokens, plain_word, spliced, suspect
+from quireframe.llm.plain import canonical_texts, main_script, odd_class, plain_tokens, plain_word, spliced, suspect
 
 CASES = [
     ("latin", "ｂｒｅａｍ", "bream"), ("latin", "nоt", "not"), ("latin", "hаνe", "have"), ("latin", "i﻿n", "in"), ("latin", "corp\xadus", "corpus"), ("latin", "but\xa0", "but"), ("latin", "saiﬂi", "saifli"), ("latin", "caiﬆ", "caist"), ("latin", "nél", "nél"), ("latin", "don’t", "don't"), ("latin", "ʼtis", "'tis"),
@@ -36,6 +37,31 @@ def test_splice_equals_whole_normalisation():
         assert spliced(s, keep_space=True) == unicodedata.normalize("NFC", s), ascii(s)
 
 
+def test_order_of_any_marks():
+    """Each mark may be stable by itself and still stand in the wrong place."""
+    r = random.Random(5)
+    marks = [c for c in map(chr, range(0x300, 0x1F000)) if unicodedata.combining(c)]
+    for _ in range(20_000):
+        s = "".join(r.choice(["a", "x", "ב", "ا", "क", "ㄱ", *r.choices(marks, k=6)]) for _ in range(r.randrange(1, 9)))
+        assert spliced(s, keep_space=True) == unicodedata.normalize("NFC", s), ascii(s)
+    for s in ("\u0628\u0651\u064e", "\u05e9\u05bc\u05b0", "a\u0315\u0316"):
+        assert spliced(s) == unicodedata.normalize("NFC", s) != s
+
+
+def test_quick_check_and_normaliser_agree_on_every_character():
+    odd = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", f"[{odd_class()}]"))
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
+        if spliced(f"x{c}y", keep_space=True) != f"x{c}y":
+            assert odd.match(c), hex(ord(c))
+
+
+def test_order_of_marks_is_seen_by_the_checks(spark):
+    texts = ["كبّ\u064eر", "\u05e9\u05bc\u05b0ל", "xa\u0315\u0316y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    assert df.where(suspect(F.col("t"))).count() == 3
+    assert {r["id"]: r["t"] for r in canonical_texts(df, "t").collect()} == {i: unicodedata.normalize("NFC", t) for i, t in enumerate(texts)}
+
+
 def test_tokens_by_book(spark, rows):
     books = spark.createDataFrame([(1, "the plain text of an English book with фраза", 0), (2, "русский текст книги, chapter 1", 0), (3, None, 0), (4, "", 0)], "book_id long, content string, s int")
     data = [(1, 0, "nоt", 9), (1, 0, "nоt", 9), (1, 4, "so", 9), (1, 7, None, 9), (1, 9, "​", 9), (2, 0, "oн", 9), (2, 3, "с", 9), (2, 5, "c", 9), (2, 7, "a", 9), (3, 0, "ｘ", 9), (3, 2, "nоt", 9), (4, 0, "nоt", 9), (9, 0, "ｘ", 9), (1, None, "ﬁn", 9), (None, 1, "ﬁn", 9)]
@@ -46,7 +72,7 @@ def test_tokens_by_book(spark, rows):
 
 
 def test_scripts(spark):
-    texts = {"abc ф": "latin", "": "latin", "привет abc": "cyrillic", "見る読む": "ideographic", "Τι είναι 12": "greek", "كتاب": "arabic", "के घैन": "devanagari", "123 ...": "latin", "የኪፈሉት": "ethiopic", "վարամ": "armenian"}
+    texts = {"abc ф": "latin", "": "latin", "привет abc": "cyrillic", "見る読む": "ideographic", "Τι είναι 12": "greek", "كتاب": "arabic", "के घैन": "devanagari", "123 ...": "latin", "12 345 678 901 да": "cyrillic", "የኪፈሉት": "ethiopic", "վարամ": "armenian"}
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r["t"]: r["s"] for r in df.select("t", main_script(F.col("t")).alias("s")).collect()} == texts
 
