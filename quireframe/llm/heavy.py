@@ -79,8 +79,12 @@ def summarise(df: DataFrame, value: str, capacity: int = 4096, fan_in: int = 16)
         parts = [p for _, p in pdf.groupby("sub")]
         return merge(parts, capacity).assign(node=pdf["node"].iloc[0])[["node", "v", "n", "err", "floor", "total"]]
 
-    while nodes > 1:
-        level = level.withColumn("sub", F.col("node")).withColumn("node", F.expr(f"node div {fan_in}").cast("int")).groupBy("node").applyInPandas(join, SUMMARY)
+    while True:
+        # The last level takes all that are left, should the run have had more partitions than the plan showed.
+        up = F.lit(0) if nodes <= fan_in else F.expr(f"node div {fan_in}").cast("int")
+        level = level.withColumn("sub", F.col("node")).withColumn("node", up).groupBy("node").applyInPandas(join, SUMMARY)
+        if nodes <= fan_in:
+            break
         nodes = -(-nodes // fan_in)
     return level.drop("node")
 
