@@ -23,12 +23,18 @@ _HEAD = re.compile(r"(.+)\n(.+)\n\n")
 _PART = re.compile(r"^(?:PART|BOOK) [0-9IVXLC]+\..*", re.MULTILINE)
 _CHAPTER = re.compile(r"^(?:APPENDIX|INTRODUCTION|PREFACE|CHAPTER|CONCLUSION|PROLOGUE|PRELUDE|EPILOGUE|MORAL)\s?[0-9IVXLC]*\..*", re.MULTILINE)
 #: Marks that open speech, with those that close it; those that are too often apostrophes to go by length;
-#: words that make a quotation in double marks speech; punctuation at the edges that shows speech, with how much is looked at.
+#: how many words make a quotation speech.
 MARKS = {"“": "”", "‘": "’", '"': '"', "'": "'"}
 WEAK_MARKS = "’'"
 LENGTH = 5
-LOOK_BEHIND, LOOK_AHEAD = 4, 5
-BEFORE, DASHES, LAST = re.compile(r"(?:--|[(,:;])\s*$"), re.compile(r"\s*--"), re.compile(r"--\s*$|[,?.!-;_]$")  # from ! to ;
+#: Punctuation that shows speech, with where it is looked for: from and up to how many characters after
+#: the opening mark (o) or the closing mark's end (c).
+SIGNS = (
+    ("o", -4, 0, re.compile(r"(?:--|\(|,|:|;)\s*$")),
+    ("o", 1, 6, re.compile(r"^\s*--")),
+    ("c", -5, -1, re.compile(r"--\s*$|[,?.!-;_]$")),
+    ("c", 0, 5, re.compile(r"^\s*--")),
+)
 
 
 class Region(NamedTuple):
@@ -67,16 +73,12 @@ def headings(text: str) -> dict[str, list[Region]]:
 
 
 def chapter_texts(text: str, tags: Mapping[str, Sequence[Region]]) -> list[Region]:
-    """What lies between headings, with the number of the last chapter heading before it."""
-    heads = sorted((r.start, -r.end, name, r) for name in ("metadata.title", "metadata.author", "chapter.part", "chapter.title") for r in tags.get(name, ()))
-    out, number, last = [], 0, 0
-    for a, _, name, r in [*heads, (len(text), 0, "", Region(len(text), len(text)))]:
-        if a > last:
-            out += _trim(text, last, a, number)
-        if name == "chapter.title":
-            number = r.value or 0
-        last = r.end
-    return out
+    """The complement of all headings, numbered by the last chapter heading that begins before."""
+    heads = [(r.start, r.end) for name in ("metadata.title", "metadata.author", "chapter.part", "chapter.title") for r in tags.get(name, ())]
+    titles = sorted((r.start, -r.end, r.value or 0) for r in tags.get("chapter.title", ()))
+    numbers = [0, *(value for _, _, value in titles)]
+    between = _gaps(sorted(heads, key=lambda h: (h[0], -h[1])), len(text))
+    return [r for a, z in between for r in _trim(text, a, z, numbers[bisect.bisect_left(titles, (a,))])]
 
 
 def paragraphs(text: str, chapters: Sequence[Region]) -> list[Region]:
@@ -104,58 +106,69 @@ def sentences(text: str, chapters: Sequence[Region], suppress: frozenset[str] =
     return out
 
 
-class _Open(NamedTuple):
-    closer: str
+class Mark(NamedTuple):
+    """A quotation mark in a paragraph: its place, the words before it, and whether the paragraph begins with it."""
+
+    char: str
     start: int
+    end: int
     words: int
+    leads: bool
 
 
-def _speech(text: str, a: int, z: int, words: int) -> bool:
-    """Whether marks around a text show speech: its length, or punctuation within or without either mark."""
-    if words >= LENGTH and text[a] not in WEAK_MARKS:
-        return True
-    inside = text[a + 1 : z - 1]
-    outside = text[a - LOOK_BEHIND : a] if a >= LOOK_BEHIND else "", text[z : z + LOOK_AHEAD]
-    # too near the text's beginning nothing is seen behind; within a short quotation the look-behind reaches past its opening mark
-    end = text[z - 1 - LOOK_BEHIND : z - 1] if z > LOOK_BEHIND else ""
-    return any((BEFORE.search(outside[0]), DASHES.match(outside[1]), DASHES.match((inside + text[z - 1 :])[:LOOK_AHEAD]), LAST.search(end)))
+def marks(text: str, paras: Sequence[Region]) -> Iterator[Mark | bool]:
+    """The quotation marks of all paragraphs; before those of each paragraph, whether speech may run on into it.
 
-
-def quotes(text: str, paras: Sequence[Region]) -> tuple[list[Region], list[Region]]:
-    """Speech, and speech within it. A quotation that a paragraph leaves open goes on if the next begins with a mark or an indent."""
-    pieces = [(a, z, _counts(text, a, z, frozenset())) for a, z in segments(text)]
-    ends = [z for _, z, _ in pieces]
-    outer: list[Region] = []
-    inner: list[Region] = []
-    speech: _Open | None = None
-    within: _Open | None = None
+    It may where the paragraph begins with an opening mark or an indent. What the tokeniser makes a word (an apostrophe
+    within one) is no mark.
+    """
+    pieces = list(segments(text))
+    ends = [z for _, z in pieces]
+    known = {*MARKS, *MARKS.values()}
     words = 0
     for p in paras:
-        if speech and text[p.start] not in MARKS and text[max(0, p.start - 3) : p.start] != "   ":
-            speech = None
-        for a, z, wordy in pieces[bisect.bisect_right(ends, p.start) : bisect.bisect_right(ends, p.end)]:
-            mark = text[max(a, p.start) : z]
-            if wordy:
+        yield text[p.start] in MARKS or text.endswith("   ", 0, p.start)
+        for a, z in pieces[bisect.bisect_right(ends, p.start) : bisect.bisect_right(ends, p.end)]:
+            if _counts(text, a, z, frozenset()):
                 words += 1
-            elif within and mark == within.closer:
-                if _speech(text, within.start, z, words - within.words):
-                    inner.append(Region(within.start, z))
-                within = None
-            elif speech and a <= p.start:
-                continue
-            elif speech and mark == speech.closer:
-                if _speech(text, speech.start, z, words - speech.words):
-                    outer.append(Region(speech.start, z))
-                    within = None
-                speech = None
-            elif mark in MARKS:
-                new = _Open(MARKS[mark], a, words)
-                if speech and new.closer != speech.closer:
-                    within = new
-                else:
-                    speech = new
-        within = None
-    return outer, inner
+            elif (char := text[max(a, p.start) : z]) in known:
+                yield Mark(char, a, z, words, a <= p.start)
+
+
+def is_speech(text: str, opening: Mark, closing: Mark) -> bool:
+    """Whether a pair of marks shows speech: by its length, or by a sign around or within it."""
+    if closing.words - opening.words >= LENGTH and opening.char not in WEAK_MARKS:
+        return True
+    at = {"o": opening.start, "c": closing.end}
+    # A window that would begin before the text is empty.
+    return any(sign.search(text[at[side] + first : at[side] + last]) for side, first, last, sign in SIGNS if at[side] + first >= 0)
+
+
+def quotes(text: str, paras: Sequence[Region]) -> tuple[list[Region], list[Region]]:
+    """Speech, and speech within it: marks are paired by level, and a pair stands if it shows speech.
+
+    At each level one mark is open. A mark closes the innermost level that waits for it; otherwise it opens the inner
+    level if speech with another closing mark is open, else the outer one. While speech runs on, a mark that leads a
+    paragraph only repeats the opening one. The inner level ends with its paragraph and with speech that stands.
+    """
+    stands: tuple[list[Region], list[Region]] = ([], [])
+    waiting: list[Mark | None] = [None, None]
+    for m in marks(text, paras):
+        if isinstance(m, bool):
+            waiting = [waiting[0] if m else None, None]
+            continue
+        repeats = m.leads and waiting[0] is not None
+        closes = [k for k, w in enumerate(waiting) if w is not None and MARKS[w.char] == m.char and not (repeats and k == 0)]
+        if closes:
+            level = closes[-1]
+            opening, waiting[level] = waiting[level], None
+            if is_speech(text, opening, m):
+                stands[level].append(Region(opening.start, m.end))
+                waiting = [waiting[0], waiting[1] if level else None]
+        elif m.char in MARKS and not repeats:
+            outer = waiting[0]
+            waiting[int(outer is not None and MARKS[outer.char] != MARKS[m.char])] = m
+    return stands
 
 
 def nonquotes(text: str, chapters: Sequence[Region], speech: Sequence[Region]) -> list[Region]:
