@@ -8,25 +8,25 @@ from pyspark.sql import functions as F
 from quireframe.api import CLUSTER_LENGTHS, Corpus, facets, region_preview
 from quireframe.errors import UserError
 from quireframe.operators.importing import annotate
-from tests.test_corpus import ALICE, WILLOWS
+from tests.test_corpus import EDITH, HERRING
 
 
 @pytest.fixture(scope="module")
 def corpus(spark):
-    t = annotate(spark.createDataFrame([(1, "alice", ALICE), (2, "willows", WILLOWS)], "book_id long, name string, content string"))
+    t = annotate(spark.createDataFrame([(1, "edith", EDITH), (2, "herring", HERRING)], "book_id long, name string, content string"))
     t["corpus"] = spark.createDataFrame([(1, "both", "Both", bytearray(b"x"), 0), (2, "one", "One", None, 1)], "corpus_id int, name string, title string, carousel_image binary, ordering int")
     t["corpus_book"] = spark.createDataFrame([(1, 1), (1, 2), (2, 2)], "corpus_id int, book_id long")
     return Corpus(t, aliases={"old": ["corpus:one"]})
 
 
 def test_concordance(corpus):
-    a = corpus.concordance(["the mole"], ["corpus:both"], contextsize=1, metadata=["book_titles", "word_count_all"])
+    a = corpus.concordance(["the crow"], ["corpus:both"], contextsize=1, metadata=["book_titles", "word_count_all"])
     rows = a.data.orderBy("start").collect()
-    assert [("".join(r["left"]["parts"]), "".join(r["node"]["parts"]), "".join(r["right"]["parts"])) for r in rows] == [("River\n\n", "The Mole", " had"), ("saw ", "the Mole", "")]
-    assert {r["title"] for r in a.footer["book_titles"].collect()} == {"Alice", "Willows"} and a.footer["word_count_all"].count() == 2
+    assert [("".join(r["left"]["parts"]), "".join(r["node"]["parts"]), "".join(r["right"]["parts"])) for r in rows] == [("Storm\n\n", "The Crow", " had"), ("saw ", "the Crow", "")]
+    assert {r["title"] for r in a.footer["book_titles"].collect()} == {"Edith", "Herring"} and a.footer["word_count_all"].count() == 2
     out = json.loads("".join(a.json()))
     assert len(out["data"]) == 2 and len(out["book_titles"]) == 2
-    assert corpus.drill_down("the mole", ["old"]).data.count() == 2 and corpus.concordance(["the mole"], [1]).data.count() == 0
+    assert corpus.drill_down("the crow", ["old"]).data.count() == 2 and corpus.concordance(["the crow"], [1]).data.count() == 0
     for bad in (lambda: corpus.concordance(["x"], []), lambda: corpus.concordance([], [1]), lambda: corpus.concordance(["x"], [1], ["all", "quote"])):
         with pytest.raises(UserError):
             bad()
@@ -36,7 +36,7 @@ def test_concordance(corpus):
 
 def test_lists(corpus):
     a = corpus.cluster(2, ["old"])
-    assert {r["ngram"] for r in a.data.collect()} == {"the mole"} and "less than 2" in a.header["info"]["message"]
+    assert {r["ngram"] for r in a.data.collect()} == {"the crow"} and "less than 2" in a.header["info"]["message"]
     assert corpus.cluster(1, ["corpus:both"]).data.where("freq < 5").count() == 0
     k = corpus.keyword(1, 1.0, ["corpus:one"], [1])
     assert "info" in k.header and k.data.columns[0] == "type"
@@ -49,16 +49,16 @@ def test_lists(corpus):
 def test_rest(corpus):
     assert corpus.count(["corpus:both"]).data.columns == ["book_id", "all", "shortsus", "longsus", "nonquote", "quote"]
     assert corpus.subset(["corpus:both"], ["quote"]).data.count() == 5
-    t = corpus.text(["alice"], ["chapter.title"])
-    assert t.header["content"] == ALICE and t.data.count() == 2
+    t = corpus.text(["edith"], ["chapter.title"])
+    assert t.header["content"] == EDITH and t.data.count() == 2
     with pytest.raises(UserError):
         corpus.text(["corpus:both"])
-    b = corpus.book_with_regions("willows", content=True, regions=True).first()
-    assert b["content"] == WILLOWS and [tuple(r) for r in b["regions"][302]] == [(17, 33, 1)]
-    assert corpus.book_with_regions(1).first()[:] == (1, "alice")
+    b = corpus.book_with_regions("herring", content=True, regions=True).first()
+    assert b["content"] == HERRING and [tuple(r) for r in b["regions"][302]] == [(17, 33, 1)]
+    assert corpus.book_with_regions(1).first()[:] == (1, "edith")
     assert [r["corpus_name"] for r in corpus.corpora().collect()] == ["both", "one"] and corpus.authors().count() == 2
     assert [r["book_count"] for r in corpus.headlines().collect()] == [2, 1] and bytes(corpus.image(["both"]).first()[0]) == b"x"
-    assert "\x1b[" in region_preview(ALICE, ["quote"])
+    assert "\x1b[" in region_preview(EDITH, ["quote"])
     derived = Corpus({"book": corpus.book, "token": corpus.token, "text_region": corpus.regions, "corpus": corpus.corpus_table, "corpus_book": corpus.corpus_book, "book_metadata": corpus.meta})
     assert derived.headlines().collect() == corpus.headlines().collect()
     assert corpus.token.agg(F.count("*")).first()[0] > 0

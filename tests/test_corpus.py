@@ -18,43 +18,43 @@ from quireframe.operators import tags as tg
 from quireframe.operators.importing import annotate
 from quireframe.schema import SUBSETS
 
-ALICE = """Alice
-Carroll
+EDITH = """Edith
+Brindle
 
-CHAPTER I. Down
+CHAPTER I. Rain
 
-‘Well!’ thought Alice to herself, ‘after such a fall as this, I shall think
-nothing of tumbling down stairs!’ (Which was very likely true.)
+‘Pity!’ thought Edith to herself, ‘under such a roof as this, I could dream
+nothing of climbing rain towers!’ (Which was most likely true.)
 
-Down, down, down. Would the fall never come to an end?
+Rain, rain, rain. Would the roof never come to an end?
 
-CHAPTER II. Pool
+CHAPTER II. Barn
 
-‘Curiouser and curiouser!’ cried Alice.
+‘Blusterer and blusterer!’ cried Edith.
 """
-WILLOWS = """Willows
-Grahame
+HERRING = """Herring
+Marlowe
 
-CHAPTER I. River
+CHAPTER I. Storm
 
-The Mole had been working very hard. ‘Hold up!’ said an elderly rabbit, ‘at the gap, you know.’ The Mole's friend saw the Mole.
+The Crow had been fishing most days. ‘Keep up!’ said an elderly badger, ‘at the elm, you know.’ The Crow's cousin saw the Crow.
 """
 
 
 @pytest.fixture(scope="module")
 def books(spark):
-    t = annotate(spark.createDataFrame([(1, "alice", ALICE), (2, "willows", WILLOWS), (3, "none", None)], "book_id long, name string, content string"))
+    t = annotate(spark.createDataFrame([(1, "edith", EDITH), (2, "herring", HERRING), (3, "none", None)], "book_id long, name string, content string"))
     return {k: v.cache() for k, v in t.items()}
 
 
 def test_annotated(books, rows):
     tok = books["token"]
-    assert tok.where("book_id = 2").orderBy("ordering").limit(6).agg(F.array_join(F.collect_list("ttype"), " ")).first()[0] == "willows grahame chapter i river the"
+    assert tok.where("book_id = 2").orderBy("ordering").limit(6).agg(F.array_join(F.collect_list("ttype"), " ")).first()[0] == "herring marlowe chapter i storm the"
     assert tok.where("book_id = 3").count() == 0
     for r in tok.join(books["book"], "book_id").collect():
         word = r["content"][r["tok_start"] : r["tok_end"]].lower().replace("’", "'")
         assert word.strip("_") == r["ttype"]
-    assert rows(books["book_metadata"].where("rclass_id = 101").select("book_id", "content")) == [(1, "Alice"), (2, "Willows")]
+    assert rows(books["book_metadata"].where("rclass_id = 101").select("book_id", "content")) == [(1, "Edith"), (2, "Herring")]
     assert {r["book_id"]: r["n"] for r in tok.groupBy("book_id").agg(F.max("ordering").alias("n")).collect()} == {r["book_id"]: r["n"] for r in tok.groupBy("book_id").agg(F.count("*").alias("n")).collect()}
 
 
@@ -68,10 +68,10 @@ def test_counts_agree(books, rows):
 
 def test_clusters_have_holes(books, rows):
     got = dict(rows(cl.word_list(books["token"], [301], 2)))
-    assert got["the mole"] == 2 and got["the mole's"] == 1 and got["down down"] == 2
-    assert "end chapter" not in got and "end curiouser" not in got
+    assert got["the crow"] == 2 and got["the crow's"] == 1 and got["rain rain"] == 2
+    assert "end chapter" not in got and "end blusterer" not in got
     quote = dict(rows(cl.word_list(books["token"], [501], 2)))
-    assert "well after" not in quote and quote["hold up"] == 1
+    assert "pity under" not in quote and quote["keep up"] == 1
     total = sum(dict(rows(cl.word_list(books["token"], [301], 1))).values())
     assert total == books["token"].where(st.in_class(301)).count()
     with pytest.raises(NotImplementedError):
@@ -112,7 +112,7 @@ def test_concordance_against_scan(books):
     tok = books["token"].orderBy("book_id", "ordering").collect()
     import re
 
-    for q, subset, k in (("the mole*", "all", 2), ("* down", "all", 3), ("h?ld up", "quote", 0), ("said * elderly", "nonquote", 40)):
+    for q, subset, k in (("the crow*", "all", 2), ("* rain", "all", 3), ("k?ep up", "quote", 0), ("said * elderly", "nonquote", 40)):
         pats = [re.compile("".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in p) + "$") for p in parse_query(q)]
         expected = []
         for b in (1, 2):
@@ -131,7 +131,7 @@ def test_concordance_errors_and_bag(books):
         cc.concordance(books["token"], ["x"], [301, 501])
     with pytest.raises(UserError):
         cc.concordance(books["token"], ["!!!"], [301])
-    assert cc.concordance(books["token"], ["mole", "m*"], [301]).where("book_id = 2").count() == 2 + 3
+    assert cc.concordance(books["token"], ["crow", "cr*"], [301]).where("book_id = 2").count() == 2 + 3
 
 
 def test_windows():
@@ -146,13 +146,13 @@ def test_windows():
 
 
 def test_line_text(books):
-    got = cc.with_text(cc.concordance(books["token"], ["elderly rabbit"], [301], 2), books["book"]).first()
-    assert "".join(got["left"]["parts"]) == "said an " and "".join(got["node"]["parts"]) == "elderly rabbit," and "".join(got["right"]["parts"]) == " ‘at the"
+    got = cc.with_text(cc.concordance(books["token"], ["elderly badger"], [301], 2), books["book"]).first()
+    assert "".join(got["left"]["parts"]) == "said an " and "".join(got["node"]["parts"]) == "elderly badger," and "".join(got["right"]["parts"]) == " ‘at the"
 
 
 def test_subset_listing(books):
     got = {tuple(t["ttype"] for t in r["node"]): r for r in su.listing(books["token"], st.regions(books["text_region"]), [501], 2).collect()}
-    r = got[("hold", "up")]
+    r = got[("keep", "up")]
     assert [t["ttype"] for t in r["right"]] == ["said", "an", "elderly"] and r["chapter"] == 1
     with pytest.raises(UserError):
         su.listing(books["token"], books["text_region"], [])
@@ -161,7 +161,7 @@ def test_subset_listing(books):
 def test_footers(books, rows):
     reg = st.regions(books["text_region"])
     starts = {(r["book_id"], r["chapter"]): r["start"] for r in fo.chapter_starts(reg).collect()}
-    assert starts[(1, "1")] == ALICE.index("‘Well") and starts[(1, "2")] == ALICE.index("‘Curiouser") and starts[(1, "_end")] == len(ALICE.rstrip())
+    assert starts[(1, "1")] == EDITH.index("‘Pity") and starts[(1, "2")] == EDITH.index("‘Blusterer") and starts[(1, "_end")] == len(EDITH.rstrip())
     before = {(r["book_id"], r["chapter"]): r["words"] for r in fo.words_before(books["book_word_count"]).collect()}
     assert before[(1, "1")] == 0 and before[(1, "_end")] == before[(1, "2")] + 5
     assert set(fo.footer(["book_titles", "chapter_start", "word_count_chapter", "word_count_quote"], reg, books["book_word_count"], books["book_metadata"])) == {"book_titles", "chapter_start", "word_count_chapter", "word_count_quote"}
@@ -173,13 +173,13 @@ def test_corpora(spark, books, rows):
     corpus = spark.createDataFrame([(1, "zcorp", "Z", None, 0), (2, "acorp", "A", bytearray(b"jpg"), 1), (3, "empty", "E", None, 2)], "corpus_id int, name string, title string, carousel_image binary, ordering int")
     links = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 2)], "corpus_id int, book_id long")
     listing = co.listing(corpus, links, books["book"], books["book_metadata"])
-    assert [(r["corpus_name"], [c["id"] for c in r["children"]]) for r in co.nested_listing(listing).collect()] == [("zcorp", ["alice", "willows"]), ("acorp", ["willows"])]
-    assert rows(co.books_per_author(listing)) == [("Carroll", 1), ("Grahame", 2)]
+    assert [(r["corpus_name"], [c["id"] for c in r["children"]]) for r in co.nested_listing(listing).collect()] == [("zcorp", ["edith", "herring"]), ("acorp", ["herring"])]
+    assert rows(co.books_per_author(listing)) == [("Brindle", 1), ("Marlowe", 2)]
     heads = {r["name"]: (r["book_count"], r["word_count"]) for r in co.headlines(corpus, links, books["book_word_count"]).collect()}
     assert heads["zcorp"][0] == 2 and heads["acorp"][0] == 1 and "empty" not in heads and heads["zcorp"][1] > heads["acorp"][1] > 0
     assert bytes(co.image(corpus, "corpus:acorp").first()["image"]) == b"jpg"
     resolve = lambda *s: sorted(r["book_id"] for r in co.resolve(s, corpus, links, books["book"], books["book_metadata"], {"old": ["corpus:zcorp"]}).collect())
-    assert resolve("alice", 1) == [1] and resolve("old", "author:Grahame") == [1, 2] and resolve("corpus:acorp") == [2] and resolve("nobody") == []
+    assert resolve("edith", 1) == [1] and resolve("old", "author:Marlowe") == [1, 2] and resolve("corpus:acorp") == [2] and resolve("nobody") == []
     with pytest.raises(UserError):
         resolve()
 

@@ -3,9 +3,9 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
-from tests.test_corpus import ALICE, WILLOWS
+from tests.test_corpus import EDITH, HERRING
 
-BOOKS = [(1, "alice", ALICE), (2, "willows", WILLOWS), (30, "none", None), (31, "empty", "")]
+BOOKS = [(1, "edith", EDITH), (2, "herring", HERRING), (30, "none", None), (31, "empty", "")]
 
 
 @pytest.fixture(scope="module")
@@ -17,13 +17,13 @@ def store(spark, tmp_path_factory):
     put("corpus", [(1, "a"), (2, "b"), (3, "c")], "corpus_id int, name string")
     put("corpus_book", [(1, 2), (1, 2), (2, 30), (2, 31), (3, 99)], "corpus_id int, book_id long")
     put("rclass", [(301, "chapter.text"), (503, "quote")], "rclass_id int, name string")
-    put("text_region", [(2, 301, 34, len(WILLOWS), 1), (2, 301, 34, len(WILLOWS), 1), (2, 503, 0, 7, None), (30, 503, 0, 5, None), (1, 999, 0, 5, None)], "book_id long, rclass_id int, r_start int, r_end int, rvalue int")
+    put("text_region", [(2, 301, 34, len(HERRING), 1), (2, 301, 34, len(HERRING), 1), (2, 503, 0, 7, None), (30, 503, 0, 5, None), (1, 999, 0, 5, None)], "book_id long, rclass_id int, r_start int, r_end int, rvalue int")
     return d
 
 
 def test_whole_books(spark, store, rows):
     got = rows(entry.queries()["exact_tokens"](spark, store))
-    assert {r[0] for r in got} == {1, 2} and (2, 0, 7, "willows") in got and len(got) == len(set(got))
+    assert {r[0] for r in got} == {1, 2} and (2, 0, 7, "herring") in got and len(got) == len(set(got))
     regions = rows(entry.queries()["tagged_regions"](spark, store))
     assert {r[0] for r in regions} >= {1, 2} and (1, 101, 0, 5) in [r[:4] for r in regions]
 
@@ -39,5 +39,5 @@ def test_corpora_of_all_books(spark, store, rows):
 
 def test_previews_of_every_region(spark, store, rows):
     got = rows(entry.queries()["region_previews"](spark, store))
-    text = WILLOWS[34:]
-    assert got == sorted([("willows", "chapter.text", 34, len(WILLOWS), 1, (text[:20] + "..." + text[-20:]).replace("\n", " ")), ("willows", "quote", 0, 7, None, "Willows"), ("none", "quote", 0, 5, None, None), ("alice", None, 0, 5, None, "Alice")], key=repr)
+    text = HERRING[34:]
+    assert got == sorted([("herring", "chapter.text", 34, len(HERRING), 1, (text[:20] + "..." + text[-20:]).replace("\n", " ")), ("herring", "quote", 0, 7, None, "Herring"), ("none", "quote", 0, 5, None, None), ("edith", None, 0, 5, None, "Edith")], key=repr)
