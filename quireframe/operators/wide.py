@@ -1,9 +1,10 @@
 """Entity, attribute, value rows as one row per entity with typed columns, by characteristic sets.
 
-Entities that have exactly the same attributes form a characteristic set. The set is the partition of a table in the
-shared folder, so that each dense table is read from its own directory with its own columns; the dense tables are then
-united by name. Sets beyond the ``max_tables`` most populous ones share one sparse table, so that the plan stays
-bounded however many there are; no entity is left out.
+Entities that have exactly the same attributes form a characteristic set. Each set is a dense table of its own, a
+directory in the shared folder that holds a column for each attribute of the set, in their order, and nothing for the
+others. Tables with equally many columns have one layout and are read together; the layouts, of which there is one more
+than attributes, are then united by name, where a column that a set lacks is missing. So the plan has as many branches
+however many sets there are, and none is treated unlike another.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quireframe.session import ensure_checkpoint_dir, parallelism
+from quireframe.session import ensure_checkpoint_dir
 
 
 class Attribute(NamedTuple):
@@ -27,7 +28,7 @@ class Attribute(NamedTuple):
     kind: str
 
 
-def to_wide(df: DataFrame, entity: str, attribute: str, value: str, loaded: str, attributes: Mapping[int, Attribute], max_tables: int = 64) -> DataFrame:
+def to_wide(df: DataFrame, entity: str, attribute: str, value: str, loaded: str, attributes: Mapping[int, Attribute]) -> DataFrame:
     """One row per non-null entity: ``entity`` and a typed column for each of ``attributes``.
 
     Of several rows for a cell the one loaded last counts whose value denotes something; equal loading times are
@@ -45,30 +46,30 @@ def to_wide(df: DataFrame, entity: str, attribute: str, value: str, loaded: str,
     read = rows.select("e", "a", "t", F.explode(F.transform(F.array("v"), cell)).alias("x"))
     last = read.groupBy("e").agg(*(F.max(F.when((F.col("a") == k) & F.col("x").isNotNull(), F.struct("t", "x"))).alias(c) for k, c, _ in spec))
     cells = last.select("e", *(F.col(c)["x"].alias(c) for _, c, _ in spec))
+    values = F.array_compact(F.array(*(c for _, c, _ in spec)))
     bits = F.concat(*(F.when(F.col(c).isNull(), "0").otherwise("1") for _, c, _ in spec))
-    cells = cells.withColumn("sig", F.concat(F.lit("s"), bits))
+    dense = cells.select("e", values.alias("x"), F.size(values).alias("n"), F.concat(F.lit("s"), bits).alias("sig")).select("e", "n", "sig", *(F.get("x", F.lit(i)).alias(f"x{i}") for i in range(len(spec))))
 
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/wide-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    width = parallelism(spark)
-    cells.repartition(width, "sig", F.pmod(F.hash("e"), F.lit(max(1, width // 4)))).write.partitionBy("sig").parquet(path)
-    stored = spark.read.schema(cells.schema).parquet(path)
-    found = [r["sig"] for r in stored.groupBy("sig").count().orderBy(F.desc("count"), "sig").limit(max_tables + 1).collect()]
-
-    def dense(rows: DataFrame, own: list[tuple[int, str, Attribute]]) -> DataFrame:
-        return rows.selectExpr(f"e AS `{entity}`", *(f"CAST({c} AS {a.kind}) AS `{a.name}`" for _, c, a in own))
-
-    tables = [dense(stored.where(f"sig = '{sig}'"), [s for s, bit in zip(spec, sig[1:], strict=True) if bit == "1"]) for sig in found[:max_tables]]
-    if len(found) > max_tables:
-        tables.append(dense(stored.where(~F.col("sig").isin(found[:max_tables])), spec))
-    if not tables:
-        tables = [dense(stored, spec)]
-    while len(tables) > 1:  # in pairs, so that the plan stays shallow
-        tables = [reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables[i : i + 2]) for i in range(0, len(tables), 2)]
-    united = tables[0]
-    return united.select(entity, *(F.col(a.name) if a.name in united.columns else F.lit(None).cast(a.kind).alias(a.name) for _, _, a in spec))
+    # Small sets share a task, one that holds a third of all entities is divided over several.
+    dense.hint("rebalance", "sig").write.partitionBy("n", "sig").parquet(path)
+    stored = spark.read.schema(dense.schema).parquet(path)
+
+    def layout(n: int) -> DataFrame:
+        """The tables with ``n`` columns: each attribute of a set stands as far in as the set has attributes before it."""
+        rows = stored.where(f"n = {n}")
+        own = F.array(*(f"x{i}" for i in range(n)))
+        names = []
+        for i, (_, _, a) in enumerate(spec):
+            before = F.length(F.replace(F.substring("sig", 2, i), F.lit("0"), F.lit("")))
+            names.append(F.when(F.substring("sig", i + 2, 1) == "1", F.get(own, before)).cast(a.kind).alias(a.name))
+        return rows.select(F.col("e").alias(entity), *(names if n else []))
+
+    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [layout(n) for n in range(len(spec) + 1)])
+    return united.select(entity, *(a.name for _, _, a in spec))
 
 
 def cells_of(wide: DataFrame, entity: str, attributes: Mapping[int, Attribute], attribute: str) -> DataFrame:

@@ -35,11 +35,20 @@ def test_last_readable_value_counts(spark, rows):
     data = [(1, 1, "Old", T[0]), (1, 1, "New", T[2]), (1, 1, "?", T[3]), (1, 2, "1850", T[1]), (1, 2, "185?", T[2]), (2, 2, "MDCCC", T[0]), (2, 2, "MDCCC", T[0]), (3, 9, "x", T[0]), (3, None, "y", T[0]), (None, 1, "z", T[0]), (4, 3, "n", None), (4, 1, None, T[0])]
     df = spark.createDataFrame(data, SCHEMA)
     expected = [(1, "New", 1850, None), (2, None, 1800, None), (3, None, None, None), (4, None, None, False)]
-    for most in (1, 2, 64):  # rare sets share a sparse table
-        assert rows(to_wide(df, "e", "a", "v", "t", ATTRS, max_tables=most)) == expected
+    assert rows(to_wide(df, "e", "a", "v", "t", ATTRS)) == expected
     assert rows(cells_of(to_wide(df, "e", "a", "v", "t", ATTRS), "e", ATTRS, "a")) == [(1, 1, "New"), (1, 2, "1850"), (2, 2, "1800"), (4, 3, "false")]
 
 
+def test_every_set_of_attributes(spark):
+    """256 sets of eight attributes, each a table of its own; one set holds a third of all entities."""
+    plain = {i: Attribute(f"c{i}x", n.text, "string") for i in range(8)}
+    sets = [*range(256), *[37] * 128]
+    data = [(e, a, f"v{e}-{a}", T[0]) for e, bits in enumerate(sets) for a in range(8) if bits >> a & 1] + [(0, 99, "only a row", T[0])]
+    got = {r["e"]: r for r in to_wide(spark.createDataFrame(data, SCHEMA), "e", "a", "v", "t", plain).collect()}
+    assert len(got) == len(sets)
+    assert all(got[e][f"c{a}x"] == (f"v{e}-{a}" if bits >> a & 1 else None) for e, bits in enumerate(sets) for a in range(8))
+
+
 def test_empty_ties_and_clashes(spark, rows):
     assert rows(to_wide(spark.createDataFrame([], SCHEMA), "e", "a", "v", "t", ATTRS)) == []
     df = spark.createDataFrame([(1, 1, "b", T[0], "q", "r"), (1, 1, "a", T[0], "q", "r")], SCHEMA + ", sig string, title string")
