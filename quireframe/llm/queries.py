@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireframe.llm import frequency, heavy, leaks, packing, plain, residue, sentences
-from quireframe.session import table
+from quireframe.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,12 +66,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir).where("piece = 1").select("doc_id").distinct()
 
 
-def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the containers of all documents are: containers, those that need be at least, and tokens."""
     per = _packed(spark, sf_dir).groupBy("container").agg(F.sum("size").alias("n"))
     return per.agg(F.count(F.lit(1)).alias("containers"), F.ceil(F.sum("n") / CONTAINER).alias("at_least"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of a packing, whatever it looks like: every token once, no container overfull, none split that
+    fits, and at most a hundredth and one more containers than any packing needs."""
+    rows = cut(_packed(spark, sf_dir))
+    bins = rows.groupBy("container").agg(F.sum("size").alias("n")).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("tokens"), F.count_if(F.col("n") > CONTAINER).alias("overfull"), F.ceil(F.sum("n") / CONTAINER).alias("at_least"))
+    docs = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("n")).agg(F.count(F.lit(1)).alias("documents"), F.sum("k").alias("pieces"), F.count_if(F.col("k") != F.greatest(F.ceil(F.col("n") / CONTAINER), F.lit(1))).alias("split_in_vain"))
+    return bins.join(F.broadcast(docs)).select("tokens", "at_least", "overfull", "documents", "pieces", "split_in_vain", (F.col("c") <= F.col("at_least") * 1.01 + 1).alias("tight"))  # a row each
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_item"), "doc_id", "text", "item_id", "text")
 
@@ -80,7 +89,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents"), "doc_id", "text", host="source").select("doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_counts, p5_found, p5_contents, p6_found, p6_frequencies, p7_found, p7_containers, p8_found, p9_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_counts, p5_found, p5_contents, p6_found, p6_frequencies, p7_found, p7_fill, p7_containers, p8_found, p9_found)}
 
 _P3 = f"""
 WITH c AS (SELECT ttype, count(*) AS n FROM token WHERE ttype IS NOT NULL GROUP BY ttype)
@@ -142,6 +151,9 @@ dw AS (SELECT DISTINCT doc_id, substring(t, p, 60) AS w FROM (SELECT doc_id, t,
 iw AS (SELECT DISTINCT item_id, substring(t, p, 60) AS w FROM (SELECT item_id, t, unnest(range(1, length(t) - 58)) AS p FROM i WHERE length(t) >= 60))
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (w)""",
     "p7_found": f"SELECT doc_id FROM documents WHERE strlen(text) > {CONTAINER}",
+    "p7_containers": f"""
+SELECT sum(n)::BIGINT AS tokens, ceil(sum(n) / {CONTAINER})::BIGINT AS at_least, 0::BIGINT AS overfull, count(*) AS documents, sum(greatest(ceil(n / {CONTAINER}), 1))::BIGINT AS pieces, 0::BIGINT AS split_in_vain, TRUE AS tight
+FROM (SELECT strlen(text) AS n FROM documents WHERE text IS NOT NULL)""",
     "p3_found": _P3 % "",
     "p3_counts": _P3 % ", n",
     "p6_found": _P6 % "ttype, mark" + " WHERE mark <> 'kept'",

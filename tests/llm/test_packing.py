@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from quireframe.llm.packing import best_fit, cross, evolve, fitness, pack
+from quireframe.llm.packing import best_fit, cross, evolve, exchange, fitness, pack
 
 
 def check(data, got, capacity):
@@ -46,14 +46,37 @@ def test_edges(spark):
 
 def test_crossover_is_a_solution():
     rng = np.random.default_rng(4)
-    sizes = rng.integers(1, 400, 300)
+    sizes = rng.integers(150, 480, 300)
     pop = evolve(sizes, 1000, [], 0, rng)
+    assert len(pop) == 10
     for _ in range(30):
         i, j = rng.choice(len(pop), 2, replace=False)
         child = cross(pop[i], pop[j], sizes, 1000, rng)
         assert child.min() == 0 and np.bincount(child, weights=sizes).max() <= 1000
-    best = evolve(sizes, 1000, pop, 40, rng)[0]
-    assert fitness(best, sizes, 1000) >= max(fitness(p, sizes, 1000) for p in pop)
+    best = evolve(sizes, 1000, list(pop), 40, rng)[0]
+    assert (best.max(), -fitness(best, sizes, 1000)) <= min((p.max(), -fitness(p, sizes, 1000)) for p in pop)
+
+
+@pytest.mark.parametrize("low, high, n", [(250, 500, 240), (180, 420, 300), (120, 600, 300)])
+def test_evolution_beats_best_fit(low, high, n):
+    """Where best fit in falling order needs more bins than the bound, evolution needs fewer than it."""
+    better = 0
+    for seed in range(3):
+        sizes = np.sort(np.random.default_rng(seed).integers(low, high, n))[::-1].copy()
+        bins, free = [0] * n, []
+        best_fit(list(range(n)), sizes.tolist(), 1000, bins, free)
+        best = evolve(sizes, 1000, [], 120, np.random.default_rng(seed))[0]
+        assert np.bincount(best, weights=sizes).max() <= 1000 and len(best) == n
+        assert best.max() + 1 <= len(free)
+        better += best.max() + 1 < len(free) or len(free) == -(-int(sizes.sum()) // 1000)
+    assert better == 3
+
+
+def test_exchange_fills_bins():
+    sizes = [6, 3, 7, 5, 4, 2]
+    bins = [[0, 1], [3]]  # 9 and 5 of 10
+    left = exchange(bins, [2, 4, 5], sizes, 10)
+    assert sorted(i for b in [*bins, left] for i in b) == list(range(6)) and [sum(sizes[i] for i in b) for b in bins] == [10, 10]
 
 
 def test_best_fit_takes_least_room():
