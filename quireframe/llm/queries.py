@@ -78,7 +78,8 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut(_packed(spark, sf_dir))
     bins = rows.groupBy("container").agg(F.sum("size").alias("n")).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("tokens"), F.count_if(F.col("n") > CONTAINER).alias("overfull"), F.ceil(F.sum("n") / CONTAINER).alias("at_least"))
     docs = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("n")).agg(F.count(F.lit(1)).alias("documents"), F.sum("k").alias("pieces"), F.count_if(F.col("k") != F.greatest(F.ceil(F.col("n") / CONTAINER), F.lit(1))).alias("split_in_vain"))
-    return bins.join(F.broadcast(docs)).select("tokens", "at_least", "overfull", "documents", "pieces", "split_in_vain", (F.col("c") <= F.col("at_least") * 1.01 + 1).alias("tight"))  # a row each
+    one = F.lit(1).alias("one")  # a row each
+    return bins.select("*", one).join(docs.select("*", one), "one").select("tokens", "at_least", "overfull", "documents", "pieces", "split_in_vain", (F.col("c") <= F.col("at_least") * 1.01 + 1).alias("tight"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

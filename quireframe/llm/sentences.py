@@ -1,9 +1,9 @@
 """Sentence units of texts in many languages and scripts, as Spark expressions.
 
-Points that end nothing (initials, abbreviations, ordinals, pairs of letters) are masked one for one by a private-use
-character; decimals and addresses need no mask, as a Western mark ends a sentence only before white space, which they lack
-inside; a second private-use character is put behind every end of a sentence that the script's marks show; the
-pieces between are the sentences. As masks keep the length, offsets hold for the unmasked text.
+Points that end nothing (in decimals and addresses, after initials, abbreviations and ordinals, between pairs of letters)
+are masked one for one by a private-use character; a second private-use character is put behind every end of a sentence
+that the script's marks show; the pieces between are the sentences. As masks keep the length, offsets hold for the
+unmasked text. A script that has no marks of its own (Thai, Lao, Khmer) is divided by paragraphs alone.
 """
 
 from __future__ import annotations
@@ -15,9 +15,13 @@ from quireframe.functions.arrays import cut_at
 
 MASK, CUT = "", ""
 #: Words before a name, which a point never ends a sentence after.
-TITLES = "Mr Mrs Ms Messrs Mme Mmes Mlle Mgr MM Mr Lieut Lt Capt Col Gen Maj Sgt Cpl Dr Drs Dra Prof Rev Hon Esq St Ste Sr Sra Srta Hr Hrn Fr Frl Hrsg Dña г гр гг проф акад св им тов Δρ κ κα κος κκ αγ Αγ डॉ श्री د أ"
+TITLES = "Gov Sen Rep Pres Supt Atty Gens Adm Cmdr Mt Ft Sig Sigg Dott Avv Ing Egr Gent Sres Sras Exmo Exma Dhr Mevr Mej Ing Pani Pan Mgr Bp Fr Mr Mrs Ms Messrs Mme Mmes Mlle Mgr MM Mr Lieut Lt Capt Col Gen Maj Sgt Cpl Dr Drs Dra Prof Rev Hon Esq St Ste Sr Sra Srta Hr Hrn Fr Frl Hrsg Dña г гр гг проф акад св им тов Δρ κ κα κος κκ αγ Αγ डॉ श्री د أ"
 #: Words before a number, which a point never ends a sentence after.
-BEFORE_NUMBERS = "p pp vol vols ch chap fig figs no No Nos nr Nr n nº art sec cap caps pág págs núm t Bd Bde Kap Abb Anm S Z т стр гл рис п ч № σελ αρ κεφ τ ص ج"
+BEFORE_NUMBERS = "Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec janv févr juil déc ene abr ago dic genn febbr янв февр авг сент окт нояб дек p pp vol vols ch chap fig figs no No Nos nr Nr n nº art sec cap caps pág págs núm t Bd Bde Kap Abb Anm S Z т стр гл рис п ч № σελ αρ κεφ τ ص ج"
+#: Words that end a name of a firm, which go on unless a word that begins sentences follows.
+FIRMS = "Inc Corp Ltd Co Bros Cie Cía Ges Jr Sr"
+#: Words that begin sentences and no name; after a pair of initials or a firm they show that a sentence ended.
+STARTERS = "The This That These Those There Then They He She It We But And When While After Before If As At In On For To So Yet No Not His Her Their Its Our My What Who Why How Where Now Der Die Das Er Sie Es Wir Und Aber Le La Les Il Elle Ils Elles Nous Mais Et El Los Las Ella Ellos Pero Y"
 #: Words that always go on.
 GO_ON = "e.g i.e viz cf vs approx env bzw z.B z. B d.h d. h d. i u.a p.ej p. ej c.-à-d p. ex p.ex напр т. е т.е т. н π.χ δηλ βλ"
 #: Pairs of letters with a point after each.
@@ -43,8 +47,14 @@ def _either(words: str) -> str:
 #: A point after one of these, where what follows would otherwise let it end a sentence. The point itself comes first
 #: in the pattern, so that text without points is passed over quickly.
 _NO_LETTER = "(?<![\\p{L}\\p{M}\\p{N}])"
+_STARTS = f"{_W}++(?:{'|'.join(sorted(set(STARTERS.split())))})(?![\\p{{L}}\\p{{M}}'’.-])"
+_ALONG = "[\\p{L}\\p{N}_/%&=#@~-]"
 _MASKED = (
-    f"\\.(?:(?<={_NO_LETTER}(?:{_either(TITLES)}|{_either(GO_ON)}|[\\p{{Lu}}&&[^IЯ]])\\.)(?={_W}*+{_OPEN}*+[\\p{{Lu}}\\p{{Lo}}\\p{{N}}])"
+    # decimals and addresses: a point with letters or digits on either side
+    f"\\.(?:(?<={_ALONG}\\.)(?={_ALONG})(?<!\\p{{Lo}}\\.)(?!\\p{{Lo}})"
+    f"|(?<={_NO_LETTER}(?:{_either(TITLES)}|{_either(GO_ON)})\\.)(?={_W}*+{_OPEN}*+[\\p{{Lu}}\\p{{Lo}}\\p{{N}}])"
+    f"|(?<={_NO_LETTER}(?:{_either(FIRMS)})\\.)(?={_W}*+{_OPEN}*+[\\p{{Lu}}\\p{{Lo}}\\p{{N}}])(?!{_STARTS})"
+    f"|(?<={_NO_LETTER}[\\p{{Lu}}&&[^IЯ]]\\.)(?={_W}*+{_OPEN}*+[\\p{{Lu}}\\p{{Lo}}\\p{{N}}])(?!(?<=\\p{{Lu}}[.{MASK}]\\p{{Lu}}\\.){_STARTS})"
     f"|(?<={_NO_LETTER}(?:{_either(BEFORE_NUMBERS)})\\.)(?={_W}*+\\p{{N}})"
     f"|(?<={_NO_LETTER}(?:{'|'.join(x[0] for x in PAIRS)})\\.)(?={_W}*+(?:{'|'.join(x[1:] for x in PAIRS)})\\.)"
     f"|(?<={_NO_LETTER}\\p{{Nd}}{{1,2}}\\.)(?={_W}*+(?:{'|'.join(MONTHS.split())})(?![\\p{{L}}\\p{{M}}])))"
@@ -56,8 +66,8 @@ _END = (
     f"|([{_FAR}]++[{_FAR_CLOSE}]*+)(?!{_W}*+(?:[{_FAR}{_FAR_CLOSE}、，,]|\\p{{Ll}}|$))(?!(?<=[”’」』])(?:{'|'.join(REPORTS)}))"
 )
 _ZERO = "[​-‍⁠﻿­]*"
-_HEADING = f"^{_W}*" + _ZERO.join("CHAPTER") + f"{_ZERO}{_W}+\\p{{Nd}}"
-_ALIKE = ("АВСЕНІЈКМОРЅТХУΑΒΕΖΗΙΚΜΝΟΡΤΥΧＣＨＡＰＴＥＲ", "ABCEHIJKMOPSTXYABEZHIKMNOPTYXCHAPTER")
+_ALIKE = {"C": "СϹＣ", "H": "НΗＨ", "A": "АΑＡ", "P": "РΡＰ", "T": "ТΤＴ", "E": "ЕΕＥ", "R": "Ｒ"}
+_HEADING = f"^{_W}*" + _ZERO.join(f"[{c}{_ALIKE[c]}]" for c in "CHAPTER") + f"{_ZERO}{_W}+\\p{{Nd}}"
 
 
 def _clean(text: Column) -> Column:
@@ -85,7 +95,7 @@ def sentences(df: DataFrame, record: str, text: str, first_block: bool = False)
     its length matters only for finding the blank lines.
     """
     parts = df.where(F.col(text).isNotNull()).select(F.col(record).alias("r"), F.posexplode(blocks(F.col(text))).alias("i", "b"))
-    head = F.translate(F.left(F.col("b.text"), F.lit(60)), *_ALIKE)
+    head = F.col("b.text")
     skipped = head.rlike(_HEADING) if first_block else (F.col("i") == 0) | head.rlike(_HEADING)
     each = parts.where(~skipped).select("r", F.col("b.start").alias("at"), F.explode(sentences_of(F.col("b.text"))).alias("s"))
     kept = F.rtrim(F.col("s.text"), F.lit(_SPACES))

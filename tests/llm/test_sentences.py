@@ -66,3 +66,19 @@ def test_prefix_sums(spark, n):
 def test_cut_at(spark):
     df = spark.createDataFrame([("ab|cde||f",)], "t string")
     assert [tuple(x) for x in df.select(cut_at(F.col("t"), "\\|")).first()[0]] == [("ab", 0), ("cde", 2), ("", 5), ("f", 5)]
+
+
+@pytest.mark.parametrize(
+    "text, units",
+    [
+        ("See Inc. Magazine and Corp. Law, Jan. 5, 1850. It went on.", ["See Inc. Magazine and Corp. Law, Jan. 5, 1850.", "It went on."]),
+        ("She met Gov. Smith and Sen. Jones in Washington D.C. They spoke.", ["She met Gov. Smith and Sen. Jones in Washington D.C.", "They spoke."]),
+        ("Il Sig. Rossi arrivò. Parlò poi.", ["Il Sig. Rossi arrivò.", "Parlò poi."]),
+        ("He works at Acme Inc. The firm is old. J. The Elder came.", ["He works at Acme Inc.", "The firm is old.", "J. The Elder came."]),
+        ("It grew by 3.5 Percent. See https://example.org/A.B?Q=1.2 Now. Or www.x.org. Then go.", ["It grew by 3.5 Percent.", "See https://example.org/A.B?Q=1.2 Now.", "Or www.x.org.", "Then go."]),
+    ],
+)
+def test_abbreviations_decimals_and_addresses(spark, text, units):
+    df = spark.createDataFrame([(1, text)], "id long, t string")
+    got = sentences(df, "id", "t", first_block=True).orderBy("s_start").collect()
+    assert [r["sentence"] for r in got] == units and [text[r["s_start"] : r["s_end"]] for r in got] == units
