@@ -19,6 +19,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "book"), "book_id", "content").select("book_id", "s_start", "s_end")
 
 
+def p2_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters and digits in the sentences of each book: all that its paragraphs have, none twice."""
+    rows = sentences.sentences(table(spark, sf_dir, "book"), "book_id", "content")
+    return rows.groupBy("book_id").agg(F.sum(F.length(F.regexp_replace("sentence", "[^\\p{L}\\p{N}]+", ""))).alias("letters")).where("letters > 0")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavy.heavy_hitters(table(spark, sf_dir, "token"), "ttype", SHARE).select("ttype")
 
@@ -90,7 +96,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents"), "doc_id", "text", host="source").select("doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_counts, p5_found, p5_contents, p6_found, p6_frequencies, p7_found, p7_fill, p7_containers, p8_found, p9_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_letters, p3_found, p3_counts, p5_found, p5_contents, p6_found, p6_frequencies, p7_found, p7_fill, p7_containers, p8_found, p9_found)}
 
 _P3 = f"""
 WITH c AS (SELECT ttype, count(*) AS n FROM token WHERE ttype IS NOT NULL GROUP BY ttype)
@@ -143,7 +149,12 @@ def _reduced_sql(text: str) -> str:
     return f"translate(regexp_replace(nfc_normalize(lower(translate({text}, '{_WIDE[0]}', '{_WIDE[1]}'))), '[^\\p{{L}}\\p{{N}}]', '', 'g'), 'асеорухіјѕһԛԝвнкмтονρυαβεζηικμτχօ', 'aceopyxijshqwbhkmtovpuabezhikmtxo')"
 
 
+_BLANKS = "[\\s\\p{Z}\x1c-\x1f\x85]*"
+_CHAPTER = "^" + _BLANKS + "\\p{Cf}*".join(("[CСϹＣ]", "[HНΗＨ]", "[AАΑＡ]", "[PРΡＰ]", "[TТΤＴ]", "[EЕΕＥ]", "[RＲ]")) + "\\p{Cf}*[\\s\\p{Z}]+\\p{Nd}"
 SQL: dict[str, str] = {
+    "p2_letters": f"""
+WITH b AS (SELECT book_id, unnest(regexp_split_to_array(content, '\\n{_BLANKS}\\n{_BLANKS}')[2:]) AS t FROM book WHERE content IS NOT NULL)
+SELECT book_id, sum(length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]+', '', 'g')))::BIGINT AS letters FROM b WHERE NOT regexp_matches(t, '{_CHAPTER}') GROUP BY book_id HAVING letters > 0""",
     "p5_found": _p5_sql(),
     "p8_found": f"""
 WITH d AS (SELECT doc_id, {_reduced_sql('text')} AS t FROM documents WHERE text IS NOT NULL),
