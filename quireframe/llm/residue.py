@@ -129,11 +129,15 @@ class Ideas:
 
     def leads(self, words: list[str]) -> bool:
         """Whether one of the words makes the line worth a look."""
-        for w in {*words} - self.quiet:
+        own = {*words}
+        for w in own & self.phrases.keys():
+            if any(idea in LEADING and own.issuperset(parts) for parts, idea in self.phrases[w]):
+                return True
+        for w in own - self.quiet:
             if _DENSE.match(w):
                 if any(i in LEADING or i == "place" for i, _ in self.parts(w)):
                     return True
-            elif self.of(w) in LEADING or w in self.web or w in self.phrases or w.startswith(self.web_stems):
+            elif self.of(w) in LEADING or w in self.web or w.startswith(self.web_stems):
                 return True
             if len(self.quiet) > 500_000:
                 self.quiet.clear()
@@ -171,20 +175,21 @@ class Ideas:
                 if tuple(words[i : i + len(parts)]) == parts:
                     idea, step = of, len(parts)
                     break
-            if idea is None and _DENSE.match(w):
+            if idea:
+                found[idea] = found.get(idea, 0) + 1
+                n += 1
+            elif idea is not None:
+                empty += 1
+            elif not spaced and _DENSE.match(w):
                 for part, _ in self.parts(w):
                     if part is None:
                         rest += 3
                     elif part:
                         found[part] = found.get(part, 0) + 1
-            elif idea is None:
-                rest += len(w)
-            elif idea:
-                found[idea] = found.get(idea, 0) + 1
+                        n += 1
             else:
-                empty += 1
+                rest += len(w)
             i += step
-            n = sum(found.values())
         return found, rest, empty
 
 
