@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -55,6 +56,11 @@ class Corpus:
         """Over a store that ``importing.save`` and ``put_corpora`` have written."""
         return cls(importing.load(spark, path) | {t: spark.read.parquet(f"{path}/{t}") for t in ("corpus", "corpus_book")}, **kwargs)
 
+    @classmethod
+    def of_books(cls, spark: SparkSession, path: str, book_ids: Sequence[int], **kwargs) -> Corpus:
+        """Over some books of a store, for which only the buckets they are in are read."""
+        return cls(importing.load(spark, path, book_ids) | {t: spark.read.parquet(f"{path}/{t}") for t in ("corpus", "corpus_book")}, **kwargs)
+
     @property
     def counts(self) -> DataFrame:
         if self._counts is None:
@@ -154,6 +160,52 @@ class Corpus:
         return self.concordance([ngram], corpora, subset, **(CONCORDANCE_VIEW | kwargs))
 
 
+def check_view(clusterlength: int | None = None, pvalue: float | None = None, span: tuple[int, int] | None = None, node_span: int | None = None) -> None:
+    """UserError where a reader asks for what the views don't offer."""
+    if clusterlength is not None and clusterlength not in CLUSTER_LENGTHS:
+        raise UserError(f"Clusters have {CLUSTER_LENGTHS[0]} to {CLUSTER_LENGTHS[-1]} words")
+    if pvalue is not None and pvalue not in P_VALUES:
+        raise UserError(f"Levels of significance are {', '.join(map(str, P_VALUES))}")
+    if span is not None and (not {*span} <= {*SPAN} or span[0] > span[1]):
+        raise UserError(f"Context words are looked for from {SPAN[0]} to {SPAN[-1]}")
+    if node_span is not None and node_span not in NODE_SPAN:
+        raise UserError(f"Of a node {NODE_SPAN[0]} to {NODE_SPAN[-1]} words are looked at")
+
+
+class Session:
+    """A reader's way with a corpus: what is asked is noted, and what was asked last is answered from memory."""
+
+    def __init__(self, corpus: Corpus, remember: int = 1) -> None:
+        self.corpus, self.remember = corpus, remember
+        self.answers: dict[str, Answer | DataFrame] = {}
+        self.noted: list[tuple[str, str]] = []
+
+    def ask(self, query: str, *args, **kwargs) -> Answer | DataFrame:
+        """The answer to a public query by name; asked again it is the one given before, if it is still remembered."""
+        key = f"{query}{args!r}{sorted(kwargs.items())!r}"
+        if key in self.answers:
+            self.answers[key] = self.answers.pop(key)
+            return self.answers[key]
+        answer = getattr(self.corpus, query)(*args, **kwargs)
+        rows = answer.data if isinstance(answer, Answer) else answer
+        plan = rows._jdf.queryExecution().simpleString()
+        self.noted.append((key, plan))
+        logging.getLogger(__name__).info("%s\n%s", key, plan)
+        self.answers[key] = answer
+        while len(self.answers) > self.remember:
+            del self.answers[next(iter(self.answers))]
+        return answer
+
+    def warm(self, requests: Sequence[tuple[str, dict]]) -> list[int]:
+        """Asks all requests and keeps their rows in the cluster's memory; the numbers of rows."""
+        self.remember = max(self.remember, len(requests))
+        counts = []
+        for query, kwargs in requests:
+            answer = self.ask(query, **kwargs)
+            counts.append((answer.data if isinstance(answer, Answer) else answer).cache().count())
+        return counts
+
+
 def region_preview(content: str, highlight: Sequence[str] | None = None, suppress: frozenset[str] = ENGLISH) -> str:
     """A text tagged and coloured for a terminal."""
     return render.ansi(content, tag(content, suppress=suppress), highlight)

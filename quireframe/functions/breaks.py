@@ -16,19 +16,16 @@ _FIRST = regex.compile(r"[^\p{L}\n.!?]*(\p{Ll})")
 
 
 def suppressions(spark: SparkSession) -> frozenset[str]:
-    """The list of the locale data that comes with Spark's own libraries; the part frozen here if it can't be read.
+    """The list of the locale data that comes with Spark's own libraries; an error if it can't be read there.
 
     An entry that others go on from (``E.`` of ``E.g.``) suppresses nothing by itself, as in that library's iterator.
     """
-    try:
-        jvm = spark._jvm
-        loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
-        data = jvm.com.ibm.icu.util.UResourceBundle.getBundleInstance("com/ibm/icu/impl/data/icudata/brkitr", "en", loader)
-        words = data.get("exceptions").get("SentenceBreak")
-        every = {words.getString(i) for i in range(words.getSize())}
-        return frozenset(w for w in every if not any(x != w and x.startswith(w) for x in every))
-    except Exception:
-        return ENGLISH
+    jvm = spark._jvm
+    loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    data = jvm.com.ibm.icu.util.UResourceBundle.getBundleInstance("com/ibm/icu/impl/data/icudata/brkitr", "en", loader)
+    words = data.get("exceptions").get("SentenceBreak")
+    every = {words.getString(i) for i in range(words.getSize())}
+    return frozenset(w for w in every if not any(x != w and x.startswith(w) for x in every))
 
 
 def _suppressed(text: str, point: int, words: list[str], lengths: list[int]) -> bool:

@@ -30,6 +30,25 @@ def ngrams(tok: DataFrame, rclass: int | None, n: int = 1) -> DataFrame:
     return runs.where(F.col("own") & (F.col("last") - F.col("ordering") == n - 1) & ~F.exists("words", lambda x: x.isNull())).select("book_id", "ordering", F.array_join("words", " ").alias("ngram"))
 
 
+def counts_by_class(tok: DataFrame, rclasses: Sequence[int], n: int = 1) -> DataFrame:
+    """``ngram, n0, n1, ..``: the word lists of several classes from one scan; a cluster lies wholly within each it counts for."""
+    if n < 1:
+        raise UserError("A cluster has at least one token")
+    inside = [in_class(c).alias(f"i{k}") for k, c in enumerate(rclasses)]
+    rows = tok.select("book_id", "ordering", "ttype", *inside).where(" or ".join(f"i{k}" for k in range(len(inside))))
+    if n == 1:
+        each = rows.where("ttype is not null").distinct().withColumnRenamed("ttype", "ngram")
+        whole = [F.col(f"i{k}") for k in range(len(inside))]
+    else:
+        w = Window.partitionBy("book_id", "blk").orderBy("ordering")
+        ahead = lambda c: F.array(F.col(c), *(F.lead(c, j).over(w) for j in range(1, n)))
+        own = blocked(rows, "ordering", 0, n - 1).repartition("book_id", "blk").dropDuplicates(["book_id", "blk", "ordering"])
+        runs = own.select("ordering", "own", F.lead("ordering", n - 1).over(w).alias("last"), ahead("ttype").alias("words"), *(ahead(f"i{k}").alias(f"a{k}") for k in range(len(inside))))
+        each = runs.where(F.col("own") & (F.col("last") - F.col("ordering") == n - 1) & ~F.exists("words", lambda x: x.isNull())).withColumn("ngram", F.array_join("words", " "))
+        whole = [F.forall(f"a{k}", lambda x: x) for k in range(len(inside))]
+    return each.groupBy("ngram").agg(*(F.count_if(x).alias(f"n{k}") for k, x in enumerate(whole)))
+
+
 def word_list(tok: DataFrame, rclasses: Sequence[int], n: int = 1) -> DataFrame:
     """``ngram, freq`` over all books; exactly one class."""
     if len(rclasses) != 1:

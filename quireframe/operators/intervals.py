@@ -31,14 +31,14 @@ def ordered(df: DataFrame, start: str = "r_start", end: str = "r_end") -> DataFr
 def complement(df: DataFrame, keys: Sequence[str], lengths: DataFrame | None = None, start: str = "r_start", end: str = "r_end") -> DataFrame:
     """The gaps between the ranges of a group in their order; with ``lengths`` (keys, length) also before and after.
 
-    Ranges are taken as disjoint: a gap begins at the end of the range before, whatever came earlier. Groups that are
-    in ``lengths`` only are one gap.
+    Ranges may nest and overlap: a gap begins where all ranges before have ended. Groups that are in ``lengths`` only
+    are one gap.
     """
     w = Window.partitionBy(*keys).orderBy(start, end)
     rows = df.select(*keys, start, end)
     if lengths is not None:
         rows = rows.unionByName(lengths.select(*keys, F.col("length").alias(start), F.col("length").alias(end)))
-    before = F.lag(end).over(w)
+    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     gaps = rows.select(*keys, (F.coalesce(before, F.lit(0)) if lengths is not None else before).alias("g_start"), F.col(start).alias("g_end"))
     return gaps.where("g_start < g_end").withColumnsRenamed({"g_start": start, "g_end": end})
 

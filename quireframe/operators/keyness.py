@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quireframe.operators.clusters import counts_by_class
+
 #: Critical values of the log likelihood and the p they stand for.
 CRITICAL = [(15.13, 0.0001), (10.83, 0.001), (6.63, 0.01), (3.84, 0.05)]
 
@@ -34,7 +36,19 @@ def keywords(target: DataFrame, reference: DataFrame, p_value: float = 0.0001, e
     r = reference.select(F.col("ngram").alias("type"), F.col("freq").alias("count_ref"))
     totals = (target.agg(F.sum("freq").alias("n")).scalar(), reference.agg(F.sum("freq").alias("n")).scalar())
     both = t.where(F.col("count_analysis") >= cutoff).join(r, "type", "left").withColumn("count_ref", F.coalesce("count_ref", F.lit(0).cast("long")))
-    both = both.withColumn("total_analysis", totals[0]).withColumn("total_ref", totals[1]).where((F.col("total_analysis") > 0) & (F.col("total_ref") > 0))
+    return _scored(both.withColumn("total_analysis", totals[0]).withColumn("total_ref", totals[1]), p_value, exclude_underused, digits, limit, order_by, half_even)
+
+
+def keywords_within(tok: DataFrame, target: int, reference: int, n: int = 1, p_value: float = 0.0001, exclude_underused: bool = True, cutoff: int = 5, digits: int | None = 2, limit: int | None = None, order_by: str = "freq", half_even: bool = True) -> DataFrame:
+    """``keywords`` of one class of the same books against another: both word lists come from one scan of the tokens."""
+    lists = counts_by_class(tok, [target, reference], n)
+    totals = lists.agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
+    both = lists.where(F.col("n0") >= max(1, cutoff)).select(F.col("ngram").alias("type"), F.col("n0").alias("count_analysis"), F.col("n1").alias("count_ref"))
+    return _scored(both.withColumn("total_analysis", totals.select("a").scalar()).withColumn("total_ref", totals.select("b").scalar()), p_value, exclude_underused, digits, limit, order_by, half_even)
+
+
+def _scored(both: DataFrame, p_value: float, exclude_underused: bool, digits: int | None, limit: int | None, order_by: str, half_even: bool) -> DataFrame:
+    both = both.where((F.col("total_analysis") > 0) & (F.col("total_ref") > 0))
     a, b, ta, tb = (F.col(c) for c in ("count_analysis", "count_ref", "total_analysis", "total_ref"))
     ea, eb = expected(a, b, ta, tb)
     rows = both.select("type", a, ta, b, tb, ea.alias("expected_analysis"), eb.alias("expected_ref"), log_likelihood(a, b, ta, tb).alias("ll"))

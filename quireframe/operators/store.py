@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quireframe.schema import RCLASSES
-
 #: Characters per bin of a range join, and tokens per block of a window over a book.
 BIN, BLOCK = 4096, 1 << 16
+#: Characters of a book that are numbered in one task.
+STRETCH = 1 << 18
 
 
 def tokens(df: DataFrame) -> DataFrame:
@@ -32,8 +32,17 @@ def value_of(rclass: int, part_of: Column | str = "part_of", default: int = -1)
 
 
 def numbered(tok: DataFrame) -> DataFrame:
-    """``ordering``: the 1-based position of every token within its book, by range."""
-    return tok.withColumn("ordering", F.row_number().over(Window.partitionBy("book_id").orderBy("tok_start", "tok_end")))
+    """``ordering``: the 1-based position of every token within its book, by range.
+
+    Tokens are counted by book and stretch of characters, the counts summed up over the stretches of a book, and tokens
+    numbered within theirs: a very long book is spread over as many tasks as it has stretches.
+    """
+    rows = tok.withColumn("bin_", F.floor(F.col("tok_start") / STRETCH))
+    sums = rows.groupBy("book_id", "bin_").agg(F.count(F.lit(1)).alias("n_"))
+    before = Window.partitionBy("book_id").orderBy("bin_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("book_id", "bin_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("off_"))
+    here = F.row_number().over(Window.partitionBy("book_id", "bin_").orderBy("tok_start", "tok_end"))
+    return rows.withColumn("here_", here).join(offsets, ["book_id", "bin_"]).withColumn("ordering", (F.col("here_") + F.col("off_")).cast("int")).drop("bin_", "here_", "off_")
 
 
 def blocked(df: DataFrame, position: str, before: int, after: int, block: int = BLOCK) -> DataFrame:
@@ -61,13 +70,19 @@ def contained(inner: DataFrame, outer: DataFrame, inner_range: tuple[str, str],
 
 
 def with_part_of(tok: DataFrame, reg: DataFrame) -> DataFrame:
-    """``part_of`` of every token from the regions that hold it: class to (largest) value, null where there is none."""
-    held = contained(tok.select("book_id", "tok_start", "tok_end"), reg.select("book_id", "rclass_id", "r_start", "r_end", "rvalue"), ("tok_start", "tok_end"), ("r_start", "r_end"))
-    each = [c for i in RCLASSES for c in (F.max(F.col("rclass_id") == i).alias(f"h{i}"), F.max(F.when(F.col("rclass_id") == i, F.col("rvalue"))).alias(f"v{i}"))]
-    maps = held.groupBy("book_id", "tok_start").agg(*each)
-    entries = F.filter(F.array(*(F.struct(F.col(f"h{i}").alias("h"), F.lit(i).alias("key"), F.col(f"v{i}").alias("value")) for i in RCLASSES)), lambda x: x["h"])
-    maps = maps.select("book_id", "tok_start", F.map_from_entries(F.transform(entries, lambda x: F.struct(x["key"], x["value"]))).alias("part_of"))
-    return tok.drop("part_of").join(maps, ["book_id", "tok_start"], "left")
+    """``part_of`` of every token from the regions that hold it: class to (largest) value, null where there is none.
+
+    Tokens and regions meet once, and what a token meets is gathered with the token itself; repeated rows of a token,
+    which are copies, count once.
+    """
+    own = [c for c in tok.columns if c not in ("book_id", "tok_start", "part_of")]
+    held = contained(tok.select("book_id", "tok_start", *own), reg.select("book_id", "rclass_id", "r_start", "r_end", "rvalue"), ("tok_start", "tok_end"), ("r_start", "r_end"), "left")
+    met = F.collect_set(F.when(F.col("rclass_id").isNotNull(), F.struct("rclass_id", "rvalue")))  # as many as there are classes
+    rows = held.groupBy("book_id", "tok_start").agg(*(F.first(c).alias(c) for c in own), met.alias("met"))
+    value = lambda k: F.array_max(F.transform(F.filter("met", lambda x: x["rclass_id"] == k), lambda x: x["rvalue"]))
+    classes = F.array_distinct(F.transform("met", lambda x: x["rclass_id"]))
+    part_of = F.when(F.size("met") > 0, F.map_from_arrays(classes, F.transform(classes, value)))
+    return rows.select("book_id", "tok_start", *own, part_of.alias("part_of"))
 
 
 def word_counts(tok: DataFrame, reg: DataFrame, classes: list[int] | None = None) -> DataFrame:

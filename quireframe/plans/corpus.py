@@ -85,7 +85,7 @@ def tokens_ordering(spark: SparkSession, d: str) -> DataFrame:
 WITH {_TK}, {_RG}, h AS (SELECT t.book_id, t.tok_start, r.rclass_id, max(r.rvalue) AS v FROM tk t JOIN rg r ON r.book_id = t.book_id AND t.tok_start >= r.r_start AND t.tok_end <= r.r_end GROUP BY t.book_id, t.tok_start, r.rclass_id)
 SELECT book_id, tok_start, string_agg(rclass_id || ':' || coalesce(v::VARCHAR, ''), ',' ORDER BY rclass_id) AS part_of FROM h GROUP BY book_id, tok_start""")
 def region_containment_map(spark: SparkSession, d: str) -> DataFrame:
-    t = st.with_part_of(_tok(spark, d), _reg(spark, d)).where("part_of is not null")
+    t = st.with_part_of(_raw(spark, d).select("book_id", "tok_start", "tok_end"), _reg(spark, d)).where("part_of is not null")
     pairs = F.transform(F.array_sort(F.map_entries("part_of")), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), F.coalesce(e["value"].cast("string"), F.lit(""))))
     return t.select("book_id", "tok_start", F.array_join(pairs, ",").alias("part_of"))
 
@@ -154,8 +154,8 @@ def _cluster(n: int, subset: str, cutoff: int | None) -> Query:
 
 
 named("wordlist_1gram", lambda spark, d: cl.word_list(_raw(spark, d), [301], 1), _ngram_sql(1, 301))
-for _n in range(2, 8):
-    named(f"cluster_{_n}gram", _cluster(_n, "all", None), _ngram_sql(_n, 301, "WHERE freq >= 5"))
+for _n, _least in ((2, 5), (3, 5), (4, 5), (5, 2), (6, 1), (7, 1)):  # long clusters hardly repeat
+    named(f"cluster_{_n}gram", _cluster(_n, "all", _least), _ngram_sql(_n, 301, f"WHERE freq >= {_least}"))
 named("cluster_quote_3gram", _cluster(3, "quote", None), _ngram_sql(3, 501, "WHERE freq >= 5"))
 named("cluster_nonquote_2gram", _cluster(2, "nonquote", 2), _ngram_sql(2, 502, "WHERE freq >= 2"))
 named("cluster_shortsus_2gram", _cluster(2, "shortsus", 1), _ngram_sql(2, 503))
@@ -185,7 +185,7 @@ FROM l WHERE {"use = '+'" if not over else "TRUE"} AND {f"ll >= {least}" if leas
 
 
 def _keyword(a: str, b: str, n: int, p: float, **kwargs) -> Query:
-    return lambda spark, d: ke.keywords(cl.word_list(_raw(spark, d), [SUBSETS[a]], n), cl.word_list(_raw(spark, d), [SUBSETS[b]], n), p, digits=4, half_even=False, **kwargs)
+    return lambda spark, d: ke.keywords_within(_raw(spark, d), SUBSETS[a], SUBSETS[b], n, p, digits=4, half_even=False, **kwargs)
 
 
 named("keyword_nonquote_vs_quote", _keyword("nonquote", "quote", 1, 0.0001), _keyword_sql(502, 501, 1, 15.13, False))
@@ -234,11 +234,18 @@ def _conc(q: str, subset: str, context: int) -> Query:
 
 for _name, _q, _s, _c in (
     ("conc_single", "window", "all", 0), ("conc_phrase2", "of the", "all", 0), ("conc_phrase3", "on the *", "all", 2), ("conc_wildcard_star", "con*", "all", 0), ("conc_wildcard_qmark", "wh?n", "all", 0),
-    ("conc_escape_underscore", "b_th*", "all", 0), ("conc_straddle", "* said *", "all", 1), ("conc_context3", "concordance", "all", 3), ("conc_quote_subset", "the *", "quote", 2), ("conc_nonquote_subset", "said *", "nonquote", 5), ("conc_longsus", "replied *", "longsus", 1),
+    ("conc_straddle", "* said *", "all", 1), ("conc_context3", "concordance", "all", 3), ("conc_quote_subset", "the *", "quote", 2), ("conc_nonquote_subset", "said *", "nonquote", 5), ("conc_longsus", "replied *", "longsus", 1),
 ):
     named(_name, _conc(_q, _s, _c), _conc_sql(parse_query(_q), SUBSETS[_s], _c))
 
 
+@query(f"SELECT q, lines FROM (SELECT 'th?' AS q, count(*) AS lines FROM ({_conc_sql(['th_'], 301, 0)}) UNION ALL SELECT 'th_', count(*) FROM ({_conc_sql([chr(116) + chr(104) + chr(92) + '_'], 301, 0)}))")
+def conc_escape_underscore(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a word with a wildcard, and of one with an underscore of its own, which is none."""
+    lines = lambda q: cc.concordance(_raw(spark, d), [q], [301]).agg(F.count(F.lit(1)).alias("lines")).select(F.lit(q).alias("q"), "lines")
+    return lines("th?").unionByName(lines("th_"))
+
+
 @query(f"SELECT book_id, count(*) AS lines FROM ({' UNION ALL '.join('SELECT book_id, position FROM (' + _conc_sql(parse_query(q), 301, 0) + ')' for q in ('window', 'lantern', 'kettle'))}) GROUP BY book_id")
 def conc_any_word(spark: SparkSession, d: str) -> DataFrame:
     """Several words, each a query of its own: a bag union."""
@@ -279,10 +286,10 @@ def kwic_summary(spark: SparkSession, d: str) -> DataFrame:
     return kw.summary(_lines(spark, d))
 
 
-@query(_LINES + ' SELECT book_id, start, l[5] || \':\' || l[4] || \':\' || l[3] || \':\' AS left_key, r[1] || \':\' || r[2] || \':\' || r[3] || \':\' AS right_key FROM v WHERE len(list_filter(l || r, lambda x: x IS NULL)) = 0')
+@query(_LINES + " SELECT book_id, start, " + " || ".join(f"coalesce({x} || ':', '')" for x in ("l[5]", "l[4]", "l[3]")) + " AS left_key, " + " || ".join(f"coalesce({x} || ':', '')" for x in ("r[1]", "r[2]", "r[3]")) + " AS right_key FROM v")
 def context_sort_keys(spark: SparkSession, d: str) -> DataFrame:
-    rows = _lines(spark, d).where((F.size("left") == 5) & (F.size("right") == 5) & ~F.exists("left", lambda x: x.isNull()) & ~F.exists("right", lambda x: x.isNull()))
-    return rows.select("book_id", "start", kw.sort_key(F.col("left"), left=True).alias("left_key"), kw.sort_key(F.col("right")).alias("right_key"))
+    """Of every line, those with little context too: what is not there adds nothing to a key."""
+    return _lines(spark, d).select("book_id", "start", kw.sort_key(F.col("left"), left=True).alias("left_key"), kw.sort_key(F.col("right")).alias("right_key"))
 
 
 @query(_LINES + f""", n AS (SELECT book_id, count(*) AS words FROM tk WHERE ttype IS NOT NULL AND {_in(301)} GROUP BY book_id),
@@ -418,10 +425,10 @@ def resolve_corpus_alias(spark: SparkSession, d: str) -> DataFrame:
     return co.resolve(["old", "author:Driwellri Nowhufaibifloond", 3, 5], *(table(spark, d, t) for t in ("corpus", "corpus_book", "book", "book_metadata")), aliases={"old": ["corpus:sea", "older"], "older": ["corpus:eastern"]})
 
 
-@query("SELECT c.corpus_id FROM corpus c WHERE c.corpus_id IN (SELECT corpus_id FROM corpus_book WHERE book_id <= 20)")
+@query("SELECT c.corpus_id FROM corpus c WHERE c.corpus_id IN (SELECT corpus_id FROM corpus_book WHERE book_id IN (SELECT book_id FROM book_metadata WHERE rclass_id = 106 AND lower(trim(content)) = 'yes'))")
 def corpora_touching_books(spark: SparkSession, d: str) -> DataFrame:
-    """Corpora that have one of some given books: a semi join."""
-    some = table(spark, d, "book").where("book_id <= 20").select("book_id")
+    """Corpora that have one of some given books, those that are said to have plates: a semi join."""
+    some = table(spark, d, "book_metadata").where("rclass_id = 106 and lower(trim(content)) = 'yes'").select("book_id")
     touched = table(spark, d, "corpus_book").join(some, "book_id", "left_semi")
     return table(spark, d, "corpus").join(touched, "corpus_id", "left_semi").select("corpus_id")
 
@@ -445,14 +452,14 @@ def like_on_types_semi(spark: SparkSession, d: str) -> DataFrame:
 # ---- intervals ----------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_RG}, l AS (SELECT book_id, length(content)::INT AS n FROM book WHERE content IS NOT NULL), x AS (SELECT book_id, r_start, r_end FROM rg WHERE rclass_id IN (101, 102, 302) AND book_id IN (SELECT book_id FROM l) UNION ALL SELECT book_id, n, n FROM l), g AS (SELECT book_id, coalesce(lag(r_end) OVER (PARTITION BY book_id ORDER BY r_start, r_end), 0) AS a, r_start AS z FROM x) SELECT book_id, a AS r_start, z AS r_end FROM g WHERE a < z")
+@query(f"WITH {_RG}, l AS (SELECT book_id, length(content)::INT AS n FROM book WHERE content IS NOT NULL), x AS (SELECT book_id, r_start, r_end FROM rg WHERE rclass_id IN (101, 102, 302) AND book_id IN (SELECT book_id FROM l) UNION ALL SELECT book_id, n, n FROM l), g AS (SELECT book_id, coalesce(max(r_end) OVER (PARTITION BY book_id ORDER BY r_start, r_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, r_start AS z FROM x) SELECT book_id, a AS r_start, z AS r_end FROM g WHERE a < z")
 def region_invert(spark: SparkSession, d: str) -> DataFrame:
     lengths = table(spark, d, "book").where("content is not null").select("book_id", F.length("content").alias("length"))
     heads = _reg(spark, d).where(F.col("rclass_id").isin(101, 102, 302)).join(lengths.select("book_id"), "book_id", "left_semi")
     return iv.complement(heads, ["book_id"], lengths)
 
 
-@query(f"WITH {_RG}, g AS (SELECT book_id, lag(r_end) OVER (PARTITION BY book_id ORDER BY r_start, r_end) AS a, r_start AS z FROM rg WHERE rclass_id = 302) SELECT book_id, a AS r_start, z AS r_end FROM g WHERE a < z")
+@query(f"WITH {_RG}, g AS (SELECT book_id, max(r_end) OVER (PARTITION BY book_id ORDER BY r_start, r_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, r_start AS z FROM rg WHERE rclass_id = 302) SELECT book_id, a AS r_start, z AS r_end FROM g WHERE a < z")
 def region_invert_inner(spark: SparkSession, d: str) -> DataFrame:
     return iv.complement(_reg(spark, d).where("rclass_id = 302"), ["book_id"])
 

@@ -62,3 +62,35 @@ def test_rest(corpus):
     derived = Corpus({"book": corpus.book, "token": corpus.token, "text_region": corpus.regions, "corpus": corpus.corpus_table, "corpus_book": corpus.corpus_book, "book_metadata": corpus.meta})
     assert derived.headlines().collect() == corpus.headlines().collect()
     assert corpus.token.agg(F.count("*")).first()[0] > 0
+
+
+def test_views_have_limits():
+    from quireframe.api import check_view
+
+    check_view(3, 0.01, (-5, 5), 10)
+    for wrong in ({"clusterlength": 8}, {"pvalue": 0.5}, {"span": (-6, 0)}, {"span": (2, 1)}, {"node_span": 11}):
+        with pytest.raises(UserError):
+            check_view(**wrong)
+
+
+def test_a_session_notes_and_remembers(corpus):
+    from quireframe.api import Session
+
+    s = Session(corpus)
+    first = s.ask("count", [1])
+    assert s.ask("count", [1]) is first and len(s.noted) == 1 and "book_id" in s.noted[0][1]
+    s.ask("count", [2])
+    assert s.ask("count", [1]) is not first and len(s.noted) == 3
+    assert s.warm([("count", {"corpora": [1]}), ("count", {"corpora": [1, 2]})]) == [1, 2]
+
+
+def test_some_books_of_a_store(spark, corpus, tmp_path):
+    from quireframe.operators.importing import load, save
+
+    tables = {"book": corpus.book, "token": corpus.token}
+    save(tables, str(tmp_path), buckets=8)
+    one = load(spark, str(tmp_path), [2])
+    assert [r[0] for r in one["token"].select("book_id").distinct().collect()] == [2]
+    plan = one["token"]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert load(spark, str(tmp_path))["token"].count() == corpus.token.count()
