@@ -21,15 +21,20 @@ FOLD = {
     "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "ł": "l", "þ": "th", "ı": "i", "ħ": "h", "ŋ": "ng", "Æ": "AE", "Œ": "OE", "Ø": "O", "Đ": "D", "Ð": "D", "Ł": "L", "Þ": "Th", "ẞ": "SS",
     "‘": "'", "’": "'", "‚": ",", "‛": "'", "“": '"', "”": '"', "„": ",,", "«": "<<", "»": ">>", "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "--", "―": "--", "…": "...", "′": "'", "″": '"', "×": "x", "÷": "/", "€": "EUR", "£": "PS", "©": "(c)", "®": "(r)", "½": "1/2", "¼": "1/4", "¾": "3/4",
 }
+#: Greek and Cyrillic letters folded to ASCII, in lower case; capitals follow from them.
+GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split(), strict=True))
+CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяёђєѕіїјљњћўџґ", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch \" y ' e iu ia io dj ie dz i yi j lj nj tsh u dzh g".split(), strict=True))
+FOLD |= {k: v for t in (GREEK, CYRILLIC) for k, v in t.items()} | {k.upper(): v.capitalize() for t in (GREEK, CYRILLIC) for k, v in t.items() if k != "ς"}
 TOKENS = "tok_start int, tok_end int, ttype string"
 
 
 def fold(text: str) -> str:
-    """``text`` with accents, ligatures and typographic marks as ASCII; letters of other scripts stay as they are."""
+    """``text`` with accents, ligatures, typographic marks, Greek and Cyrillic as ASCII; letters of other scripts stay."""
     if text.isascii():
         return text
     plain = "".join(FOLD.get(c, c) for c in unicodedata.normalize("NFKC", text))
-    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFKD", plain) if unicodedata.category(c) != "Mn" or ord(c) > 0x36F))
+    bare = "".join(FOLD.get(c, c) for c in unicodedata.normalize("NFKD", plain) if unicodedata.category(c) != "Mn" or ord(c) > 0x36F)
+    return unicodedata.normalize("NFC", bare)
 
 
 def to_type(word: str) -> str:
