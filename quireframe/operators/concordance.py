@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from quireframe.errors import UserError
 from quireframe.functions.tokenise import anchor, parse_query
-from quireframe.operators.store import in_class, value_of
+from quireframe.operators.store import in_class, value_of, with_substring
 from quireframe.session import cut
 
 #: Rows of hits with their places up to which they are sent to all tasks instead of shuffling the tokens.
@@ -107,8 +107,8 @@ def windows(text: str, offset: int, tokens: list[tuple[int, int]], n_left: int,
 def with_text(lines: DataFrame, book: DataFrame) -> DataFrame:
     """``lines`` with the text of their windows as ``left, node, right``: parts, and which of them are words."""
     every = F.concat("left", "node", "right")
-    first, last = F.get(every, F.lit(0))["tok_start"], F.get(every, F.size(every) - 1)["tok_end"]
-    cut = lines.join(book.select("book_id", "content"), "book_id").withColumn("seen", F.substring("content", first + 1, last - first)).drop("content")
+    rows = lines.withColumns({"first_": F.get(every, F.lit(0))["tok_start"], "last_": F.get(every, F.size(every) - 1)["tok_end"]})
+    cut = with_substring(rows, book, "first_", "last_", "seen").drop("first_", "last_")
     cut = cut.withColumns({"a": F.transform(every, lambda t: t["tok_start"]), "z": F.transform(every, lambda t: t["tok_end"]), "nl": F.size("left"), "nn": F.size("node")})
 
     @F.pandas_udf(WINDOWS)

@@ -95,7 +95,29 @@ def word_counts(tok: DataFrame, reg: DataFrame, classes: list[int] | None = None
     return rows.join(counted, keys, "left").withColumn("word_count", F.coalesce("word_count", F.lit(0).cast("long")))
 
 
+def chunks(book: DataFrame) -> DataFrame:
+    """``book_id, chunk, piece``: contents in pieces of ``BIN`` characters, found in one pass over each."""
+    pieces = F.regexp_extract_all("content", F.lit(f"(?s).{{1,{BIN}}}"), F.lit(0))
+    return book.where("content != ''").select("book_id", F.posexplode(pieces).alias("chunk", "piece"))
+
+
+def with_substring(rows: DataFrame, book: DataFrame, start: str, end: str, name: str) -> DataFrame:
+    """``rows`` of books with a content, with the text of their ranges as ``name``; an empty range has an empty text.
+
+    Ranges meet the pieces of the content that they touch, so that no row is ever joined to a whole book.
+    """
+    ranges = rows.where(F.col(end) > F.col(start)).select("book_id", F.col(start).alias("a_"), F.col(end).alias("z_")).distinct()
+    touched = ranges.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("a_") / BIN).cast("int"), F.floor((F.col("z_") - 1) / BIN).cast("int"))))
+    met = touched.join(chunks(book), ["book_id", "chunk"]).groupBy("book_id", "a_", "z_").agg(F.array_sort(F.collect_list(F.struct("chunk", "piece"))).alias("p_"))
+    whole = F.array_join(F.transform("p_", lambda x: x["piece"]), "")
+    offset = F.floor(F.col("a_") / BIN).cast("int") * BIN
+    texts = met.select("book_id", "a_", "z_", F.substring(whole, F.col("a_") - offset + 1, F.col("z_") - F.col("a_")).alias(name))
+    have = rows.join(book.where("content is not null").select("book_id"), "book_id", "left_semi").withColumns({"a_": F.col(start), "z_": F.col(end)})
+    return have.join(texts, ["book_id", "a_", "z_"], "left").withColumn(name, F.coalesce(name, F.lit(""))).drop("a_", "z_")
+
+
 def region_text(book: DataFrame, reg: DataFrame, classes: list[int]) -> DataFrame:
-    """``content``: the text of every region of ``classes``."""
-    rows = reg.where(F.col("rclass_id").isin(classes))
-    return rows.join(book.select("book_id", F.col("content").alias("whole")), "book_id").select("book_id", "rclass_id", "rvalue", "r_start", F.substring("whole", F.col("r_start") + 1, F.col("r_end") - F.col("r_start")).alias("content"))
+    """``content``: the text of every region of ``classes``; null where the book has none."""
+    rows = reg.where(F.col("rclass_id").isin(classes)).select("book_id", "rclass_id", "rvalue", "r_start", "r_end")
+    bare = rows.join(book.where("content is null").select("book_id"), "book_id", "left_semi").withColumn("content", F.lit(None).cast("string"))
+    return with_substring(rows, book, "r_start", "r_end", "content").unionByName(bare).select("book_id", "rclass_id", "rvalue", "r_start", "content")
