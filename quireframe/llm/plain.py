@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quireframe.functions.arrays import let
 from quireframe.functions.tokenise import tokenise
 
 #: Scripts told apart, as Unicode ranges; the ideographic one stands for all that write Chinese characters or kana.
@@ -215,14 +216,18 @@ def main_script(text: Column) -> Column:
     A text without letters counts as Latin, null gives null. Letters alone are counted, so digits and marks decide nothing.
     The passes over a text end with the first script that has more than half of the other letters.
     """
-    rest = F.regexp_replace(text, "[\\x{0}-\\x{24f}\\x{2000}-\\x{206f}\\x{3000}-\\x{303f}\\x{ff00}-\\x{ff65}]+", "")
-    latin = F.length(F.regexp_replace(text, f"[^{SCRIPTS['latin']}]+", ""))
-    count = {n: F.length(F.regexp_replace(rest, f"[^{c}]+", "")) for n, c in SCRIPTS.items() if n != "latin"}
-    most = F.array_max(F.array(*(F.struct(n.alias("n"), F.lit(s).alias("s")) for s, n in count.items())))["s"]
-    which = F.when(text.isNull(), None).when(F.length(rest) == 0, "latin").when(latin >= F.length(rest), "latin")
-    for s in ("ideographic", "cyrillic", "arabic", "devanagari", "greek", "ethiopic", "armenian", "hangul", "hebrew", "thai", "georgian"):
-        which = which.when(count[s] * 2 > F.length(rest), s)
-    return which.otherwise(most)
+    def which(rest: Column) -> Column:
+        latin = F.length(F.regexp_replace(text, f"[^{SCRIPTS['latin']}]+", ""))
+        # Where a stretch of the text has more Latin letters already than the whole has others, the rest can only add to them.
+        some = F.length(F.regexp_replace(F.substring(text, F.lit(1), F.length(rest) * 20 + 1000), "[^A-Za-z]+", ""))
+        count = {n: F.length(F.regexp_replace(rest, f"[^{c}]+", "")) for n, c in SCRIPTS.items() if n != "latin"}
+        most = F.array_max(F.array(*(F.struct(n.alias("n"), F.lit(s).alias("s")) for s, n in count.items())))["s"]
+        out = F.when(text.isNull(), None).when(F.length(rest) == 0, "latin").when(some >= F.length(rest), "latin").when(latin >= F.length(rest), "latin")
+        for s in ("ideographic", "cyrillic", "arabic", "devanagari", "greek", "ethiopic", "armenian", "hangul", "hebrew", "thai", "georgian"):
+            out = out.when(count[s] * 2 > F.length(rest), s)
+        return out.otherwise(most)
+
+    return let(F.regexp_replace(text, "[\\x{0}-\\x{24f}\\x{2000}-\\x{206f}\\x{3000}-\\x{303f}\\x{ff00}-\\x{ff65}]+", ""), which)
 
 
 #: Blocks of letters and marks that words are usually made of.
@@ -235,6 +240,18 @@ def _settled() -> str:
     return _ranges([cp for a, z in _USUAL for cp in range(a, z + 1) if not _python_unstable().match(chr(cp))])
 
 
+@functools.cache
+def _usual_marks() -> str:
+    """A Java character class of the marks among the usual letters, which are stable one by one but not in any order."""
+    return _ranges([cp for a, z in _USUAL for cp in range(a, z + 1) if unicodedata.combining(chr(cp))])
+
+
+@functools.cache
+def _other_marks() -> str:
+    """A Java character class of all other marks that have a place in the canonical order."""
+    return _ranges([cp for cp in range(0x300, 0x20000) if unicodedata.combining(chr(cp)) and not any(a <= cp <= z for a, z in _USUAL)])
+
+
 def suspect(word: Column) -> Column:
     """The quick check: whether ``word`` may differ from its plain form, whatever the script around it.
 
@@ -246,7 +263,7 @@ def suspect(word: Column) -> Column:
     mixed = word.rlike(f"[{latin}]") & word.rlike(f"[{other}]")
     ascii_alike = "".join(sorted(c for c in alike if c.isascii()))
     odd = word.rlike("[`\\x{0}-\\x{20}\\x{7f}]")
-    return F.when(word.rlike("[^\\x{0}-\\x{7e}]"), word.rlike(f"[^{_settled()}]|[{_marks()}]{{2}}") | mixed | whole).otherwise(word.rlike(f"^[{ascii_alike}'-]+$") | odd)
+    return F.when(word.rlike("[^\\x{0}-\\x{7e}]"), word.rlike(f"[^{_settled()}]|[{_usual_marks()}]{{2}}") | mixed | whole).otherwise(word.rlike(f"^[{ascii_alike}'-]+$") | odd)
 
 
 @F.pandas_udf(StringType())
@@ -322,6 +339,6 @@ def canonical_texts(df: DataFrame, text: str) -> DataFrame:
     """``df`` with ``text`` in plain form, look-alikes in the script of most letters of the text; texts that pass the
     quick check never leave the JVM's columns changed. Those without Cyrillic, Greek or Armenian letters have none."""
     alike = SCRIPTS["cyrillic"] + SCRIPTS["greek"] + SCRIPTS["armenian"]
-    odd = f"[{odd_class()}{alike}]|[{_marks()}]{{2}}"
+    odd = f"[{odd_class()}{alike}{_other_marks()}]|[{_usual_marks()}]{{2}}"
     stable = df.where(F.coalesce(~F.col(text).rlike(odd), F.lit(True)))
     return stable.unionByName(df.where(F.col(text).rlike(odd)).withColumn(text, canonical(F.col(text), main_script(F.col(text)))))
