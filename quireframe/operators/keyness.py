@@ -42,9 +42,9 @@ def keywords(target: DataFrame, reference: DataFrame, p_value: float = 0.0001, e
 def keywords_within(tok: DataFrame, target: int, reference: int, n: int = 1, p_value: float = 0.0001, exclude_underused: bool = True, cutoff: int = 5, digits: int | None = 2, limit: int | None = None, order_by: str = "freq", half_even: bool = True) -> DataFrame:
     """``keywords`` of one class of the same books against another: both word lists come from one scan of the tokens."""
     lists = counts_by_class(tok, [target, reference], n)
-    totals = lists.agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
+    totals = lists.agg(F.struct(F.sum("n0").alias("a"), F.sum("n1").alias("b")).alias("t")).scalar()
     both = lists.where(F.col("n0") >= max(1, cutoff)).select(F.col("ngram").alias("type"), F.col("n0").alias("count_analysis"), F.col("n1").alias("count_ref"))
-    return _scored(both.withColumn("total_analysis", totals.select("a").scalar()).withColumn("total_ref", totals.select("b").scalar()), p_value, exclude_underused, digits, limit, order_by, half_even)
+    return _scored(both.withColumn("total_analysis", totals["a"]).withColumn("total_ref", totals["b"]), p_value, exclude_underused, digits, limit, order_by, half_even)
 
 
 def _scored(both: DataFrame, p_value: float, exclude_underused: bool, digits: int | None, limit: int | None, order_by: str, half_even: bool) -> DataFrame:
