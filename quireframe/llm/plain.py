@@ -335,10 +335,22 @@ def canonical(texts: pd.Series, scripts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else plain_text(t, s) for t, s in zip(texts, scripts, strict=True)], dtype="object")
 
 
+@functools.cache
+def stable_class() -> str:
+    """A Java character class of what stays as it is in any text: usual letters, white space and marks of writing.
+
+    It leaves out all that ``spliced`` may change, and the letters that may pass for those of another script. It is made
+    of few ranges that begin with the most frequent characters, as a search asks one after another.
+    """
+    by, norm = _changed(True)
+    changed = {*map(ord, by), *norm}
+    kept = [*(x for x in _USUAL if x[0] not in (0x370, 0x400, 0x531)), (0x9, 0xA), (0xD, 0xD), (0x2013, 0x2027), (0x2030, 0x203E), (0x3001, 0x3030), (0xFF0C, 0xFF0C)]
+    return _ranges(sorted(cp for a, z in kept for cp in range(a, z + 1) if cp not in changed))
+
+
 def canonical_texts(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with ``text`` in plain form, look-alikes in the script of most letters of the text; texts that pass the
-    quick check never leave the JVM's columns changed. Those without Cyrillic, Greek or Armenian letters have none."""
-    alike = SCRIPTS["cyrillic"] + SCRIPTS["greek"] + SCRIPTS["armenian"]
-    odd = f"[{odd_class()}{alike}{_other_marks()}]|[{_usual_marks()}]{{2}}"
-    stable = df.where(F.coalesce(~F.col(text).rlike(odd), F.lit(True)))
-    return stable.unionByName(df.where(F.col(text).rlike(odd)).withColumn(text, canonical(F.col(text), main_script(F.col(text)))))
+    """``df`` with ``text`` in plain form, look-alikes in the script of most letters of the text; a text that passes the
+    quick check (nothing but stable characters, no two marks side by side) never leaves the JVM. Null stays null."""
+    t = F.col(text)
+    odd = F.when(t.rlike(f"[^{stable_class()}]|[{_usual_marks()}]{{2}}"), t)
+    return df.withColumn(text, F.coalesce(canonical(odd, main_script(odd)), t))

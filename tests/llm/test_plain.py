@@ -7,7 +7,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from quireframe.llm.plain import canonical_texts, main_script, odd_class, plain_tokens, plain_word, spliced, suspect
+from quireframe.llm.plain import canonical_texts, main_script, odd_class, plain_tokens, plain_word, spliced, stable_class, suspect
 
 CASES = [
     ("latin", "ｂｒｅａｍ", "bream"), ("latin", "nоt", "not"), ("latin", "hаνe", "have"), ("latin", "i﻿n", "in"), ("latin", "corp\xadus", "corpus"), ("latin", "but\xa0", "but"), ("latin", "saiﬂi", "saifli"), ("latin", "caiﬆ", "caist"), ("latin", "nél", "nél"), ("latin", "don’t", "don't"), ("latin", "ʼtis", "'tis"),
@@ -50,9 +50,11 @@ def test_order_of_any_marks():
 
 def test_quick_check_and_normaliser_agree_on_every_character():
     odd = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", f"[{odd_class()}]"))
+    stable = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", f"[{stable_class()}]"))
     for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
         if spliced(f"x{c}y", keep_space=True) != f"x{c}y":
-            assert odd.match(c), hex(ord(c))
+            assert odd.match(c) and not stable.match(c), hex(ord(c))
+    assert all(stable.match(c) for c in "aZ9 é\n—“字かक한ا") and not any(stable.match(c) for c in "о’ο\xa0ﬁＡ")
 
 
 def test_order_of_marks_is_seen_by_the_checks(spark):
