@@ -14,11 +14,12 @@ _W: dict[str, list[str]] = {
     ],
     # what tells a story or speaks about messages
     "story": [
-        "gone to/having gone/said/says/told/asked/replied/answered/explains/explained/recounts/lecture/essay/novel/described/describes/she/he/his/her/sagte/erzählt*/erklärt*/fragte/antwortete/dit-elle/dit-il/disait/raconte*/explique*/demanda/dijo/preguntó/explica*/cuenta/contó/disse/chiese/racconta*/spiega*/zei/vroeg/vertelt/powiedzia*/zapyta*/sade/frågade/сказал*/спросил*/рассказ*/объясн*/είπε/ρώτησε/εξηγεί/dedi/sordu/anlat*/ասաց/հարցրեց/قال/قالت/سأل/حكى/कहा/पूछा/बताया",
+        "gone to/having gone/said/says/told/asked/replied/answered/explains/explained/recounts/lecture/essay/novel/described/describes/she/he/his/her/sagte/erzählt*/erklärt*/fragte/antwortete/dit-elle/dit-il/disait/raconte*/explique*/demanda/dijo/preguntó/explica*/contó/disse/chiese/racconta*/spiega*/zei/vroeg/vertelt/powiedzia*/zapyta*/sade/frågade/сказал*/спросил*/рассказ*/объясн*/είπε/ρώτησε/εξηγεί/dedi/sordu/anlat*/ասաց/հարցրեց/قال/قالت/سأل/حكى/कहा/पूछा/बताया",
         "と言った/と尋ねた/说道/问道/他说/她说/말했다/물었다",
     ],
     # being enabled, required or supported
     "need": [
+        "switch/turn/activez/activa/active/activar",
         "enable/enabled/enabling/activate/activated/turn on/turned on/turn them on/turn it on/turn off/turned off/switch on/switched on/switch it on/switch them on/switched off/allow/allowed/require/required/requires/need/needs/needed/must/necessary/disabled/off/block/blocks/blocking/supported/supports/support/unsupported/outdated/upgrade/update/accept/checking/depends on/rely on/relies on/works only with/without",
         "aktivier*/deaktivier*/einschalten/eingeschaltet/ausgeschaltet/erlauben/erlauben sie/zulassen/zugelassen/erforderlich/benötig*/braucht/unterstütz*/muss/müssen/notwendig/schalten sie/ein/ohne",
         "activ*/activé*/désactiv*/autoris*/requis*/nécessaire*/nécessit*/permett*/accept*/doit/doivent/pris en charge/prend en charge/sans/habilit*/permit*/requier*/necesit*/necesari*/desactivad*/sin/encend*/admite",
@@ -37,6 +38,7 @@ _W: dict[str, list[str]] = {
     ],
     # something failed
     "failure": [
+        "prevented/attempts/durante/uppstod/verhindert*/aufgetreten/produite/overloaded/busy/congested/überlastet*/surchargé*/sobrecargad*/sovraccaric*/sobrecarregad*/overbelast*/przeciążon*/överbelasta*/перегружен*/занят*/απασχολημέν*/υπερφορτωμέν*/meşgul/yoğun/մանրաբեռնված/مشغول/व्यस्त/混み合って/混雑/繁忙/拥挤/혼잡/reset/limited",
         "temporary/encountered/serverfel/serverfehler/serverfejl/ungültig/invalide/inválid*/non valid*/ongeldig/nieprawidłow*/ogiltig*/недействител*/μη έγκυρ*/geçersiz*/غير صالح/अमान्य/無効です/失效/无效/無效/유효하지/under repair/repair/security reasons/sicherheitsgründen/raisons/sécurité/motivos/seguridad/motivi/sicurezza/razões/segurança/veiligheidsredenen/bezpieczeństwa/säkerhetsskäl/безопасности/соображений/λόγους/ασφαλείας/güvenlik/أمنية/लिए सुरक्षा/安全上の理由/安全原因/보안상",
         "broken/broke/something/problems/defekt*/kaputt/rompu/cassé*/roto/rota/rotto/quebrad*/interrotto/kapot/uszkodzon*/trasig*/битая/сломан*/σπασμέν*/bozuk/quelque chose/quelque/algo/qualcosa/iets/coś/något/etwas/что-то/что то/щось/κάτι/bir şey/bir şeyler/ինչ-որ/شيء/ما خطأ/कुछ/何か/何らかの/某些/出了点/뭔가/errado/mal/storto",
         "trouble/unerwartet*/inattendu*/inesperad*/inattes*/imprevist*/onverwacht*/nieoczekiwan*/ovänt*/beklenmedik/непредвиденн*/неожиданн*/απροσδόκητ*/अप्रत्याशित/متوقع/անսպասելի/予期しない/予期せぬ/意外/예기치",
@@ -50,6 +52,7 @@ _W: dict[str, list[str]] = {
     ],
     # something is refused
     "refusal": [
+        "disabled/limited/restricted/eingeschränkt*/limité*/limitad*/limitat*/beperkt/ograniczon*/begränsa*/ограничен*/περιορισμέν*/kısıtlan*/محدود*/تعليق/सीमित/制限され/受限/stängts av/ανασταλεί/zablokowan*",
         "not authorized/not authorised/authorized/authorised/nicht berechtigt/autorizad*/autorizzat*/gerechtigd",
         "toegang tot/geen toegang/izniniz/izin yok/violating/violation/terms/policy/nutzungsbedingungen/conditions/términos/termini/termos/voorwaarden/regulamin*/villkor/правил*/όρους/koşullar*/شروط/नियमों/規約/条款/약관",
         "permisos/permiso/permissão/permesso/permessi/berechtigung*/autorisation/droits/uprawnie*/behörighet/прав/разрешени*/toestemming/δικαίωμα/άδεια/إذن/صلاحية/अनुमति/权限/權限/권한/権限/δεν επιτρέπεται/nicht gestattet/nicht erlaubt/no permitid*/não permitid*/non consentit*/niet toegestaan/не разрешен*/không được phép",
@@ -62,6 +65,7 @@ _W: dict[str, list[str]] = {
     ],
     # something is not there
     "absence": [
+        "taken down/moved/moved permanently/has been moved/verschoben/déplacé*/movid*/trasladad*/spostat*/verplaatst/przeniesion*/flyttat*/перемещ*/перенес*/μεταφέρθηκε/taşındı/տեղափոխ*/تم نقل/نقل/स्थानांतरित/移動しました/已移动/已移動/이동되/не знайдено/no se encontró/nie został znaleziony/matched/no match",
         "gelöscht/wurde gelöscht/wurde entfernt/a été supprimé/fue eliminad*/è stat* rimoss*/foi removid*/is verwijderd/tagits bort/borttagen/удалено/удалён/было удалено/διαγράφηκε/silindi/kaldırılmış/ջնջվ*/تم حذف/حذف/हटा दी/हटा दिया/削除されました/已被删除/删除/刪除/삭제되",
         "no longer available/nicht länger/plus disponible/n'est plus/no está disponible/non è più/já não/não está/niet meer/nie jest już/inte längre/больше не/πλέον διαθέσιμ*/artık/այլևս/لم يعد/अब उपलब्ध/ご利用いただけません/利用いただけません/已不可用/不再/더 이상",
         "not found/not be found/unavailable/no longer/does not exist/doesn't exist/nothing was found/no results/nothing found/missing/gone/removed/deleted/has moved/been moved/dead link/cannot be found/can't be found/couldn't be found/not available/temporarily unavailable/nowhere to be found",
@@ -91,6 +95,7 @@ _W: dict[str, list[str]] = {
     "offer": ["available/provided/verfügbar/disponible*/disponibil*/disponív*/beschikbaar/dostępn*/tillgänglig*/mevcut/доступ*/διαθέσιμ*/հասանելի/متاح*/متوفر*/उपलब्ध/利用可能/可用/ingen/hinterlegt/renseigné*"],
     # places, things and persons of the web
     "place": [
+        "account/dein konto/konto/konta/compte/cuenta/conto/profilo/perfil/hesab*/аккаунт*/λογαριασμ*/अकाउंट/adressen/adresse/address/διεύθυνση/पता/адреса/adres/файл/archivo/fichero/plik/plik nie/fil/filen/dosya/αρχείο/फ़ाइल/ملف/documento/documentos/dokument*/document/документ*/έγγραφο/belge/दस्तावेज़/مستند/文書/文档/文件/문서/see/seen/sehen/voir/ver/vedere/vedi/zien/zobaczyć/se/увидеть/δείτε/görmek/見る/查看/보려면/المطلوبة/attempted/you tried",
         "message/messages/nachricht*/mensaje*/messaggi*/mensagem/bericht*/wiadomoś*/meddelande*/сообщени*/раздел*/материал*/μήνυμα/ενότητα/mesaj/bölüm/հաղորդագր*/رسالة/القسم/بالخادم/संदेश/अनुभाग/メッセージ/セクション/消息/메시지/artikel/artículo/articolo/artigo/artykuł/статья/статьи/άρθρο/makale/հոդված/المقال/लेख/記事/文章/기사",
         "you have been/you've been/vous avez été/has sido/ha sido/sie wurden/вы были/vous êtes",
         "you're looking for/looked for/requested page/suchen/gesuchte/gesucht/suchst/buscas/busca/buscaba/cherchez/cherchée/recherchez/cerchi/cerca/procura/procuras/zoekt/zoeken/szukasz/szukan*/söker/sökte/aradığınız/aradığın/ищете/искали/запрашиваем*/ζητήσατε/ψάχνετε/αναζητάτε/तलाश/खोज/ढूंढ*/փնտր*/የፈለጉት/찾으시/요청하신/お探し/您要找/您访问/您请求/best/nutzen/verwenden/utiliser/usar/utilizar/usare/gebruiken/korzyst*/använda/использ*/χρησιμοποι*/kullan*/यूज़/उपयोग/इस्तेमाल/استخدام/لاستخدام/利用する/使う/ご利用/使用/이용",
@@ -104,14 +109,21 @@ _W: dict[str, list[str]] = {
     ],
     # what to do about it
     "remedy": [
+        "shortly/soon/will be back/back shortly/straks/gleich/einen moment/instant/instants/instantes/un instant/minuto/minutos/minuti/minute/minuten/chwil*/stund/минут*/попытк*/λίγο/biraz/थोड़ी देर/時間をおいて/一会儿/잠시/لحظات/enseguida/puis",
         "otra vez/una vez más/encore/ancora una volta/right now/nochmal/toe/eens",
         "come back/few minutes/few/completing/completing the action/action below/below/follow/volvemos/kommen sie/wieder/nach/reviens/repassez/vuelve pronto/torneremo/voltamos/wróćcie/återkom/возвращайтесь/зайдите/επιστρέψτε/ελάτε/geri/վերադարձեք/عودوا/आइए",
-        "again/try/retry/retry after/reload/refresh/later/sign in/log in/login/log back in/go back/return/home/homepage/home page/back/contact/administrator/webmaster/support/check/settings/restart/seconds/minutes/moment/shortly/wait/hold on/patience/client/click/press/technical team/notified/aware/working on it/fix",
-        "später/erneut/nochmals/noch einmal/versuchen/versuchen sie/melden sie/anmelden/zurück/startseite/neu/laden sie/kehren/réessay*/plus tard/reconnect*/connect*/retour*/revenez/accueil/recharg*/ultérieurement/intent*/inténtelo/inténtalo/más tarde/de nuevo/iniciar sesión/inicie sesión/volver/vuelva/vuelve/inicio/recarg*/actualice/riprov*/più tardi/di nuovo/accedi/acced*/torna*/ricaric*/tent*/novamente/mais tarde/volte/voltar/início/recarregue/inicie/inicie sessão/faça/login",
-        "probeer/opnieuw/later/terug/startpagina/meld/aan/laad/spróbuj*/ponownie/później/zaloguj*/wróć/odśwież*/försök/igen/senare/logga in/tillbaka/ladda om/startsidan/tekrar/deneyin/sonra/giriş/dönün/yenileyin/lütfen/thử lại/sau",
-        "попробу*/позже/снова/еще раз/ещё раз/войдите/войти/вернитесь/вернуться/главн*/обновите/повторите/перезагруз*/спробуйте/δοκιμάστε/ξανά/αργότερα/επιστρ*/συνδεθ*/πάλι/ανανεώστε/կրկին/փորձ*/ավելի ուշ/վերադ*/թարմաց*/נסה/שוב",
-        "حاول/المحاولة/يرجى المحاولة/لاحقا/لاحقًا/لاحقاً/مرة أخرى/تسجيل الدخول/سجل الدخول/العودة/عد/الرئيسية/تحديث/पुनः/फिर/दोबारा/प्रयास/कोशिश/बाद/लॉग इन/लॉगिन/लौट*/वापस/रीलोड/እንደገና/ቆይተው/ይሞክሩ/ይግቡ/ተመለስ",
-        "もう一度/再度/後ほど/しばらく/再読み込み/戻/ログイン/ホーム/トップ/お試し/重试/重試/再试/稍后/稍後/刷新/重新/登录/登錄/登入/返回/首页/首頁/再次/尝试/다시/나중/시도/로그인/돌아가/홈/새로고침/잠시/ลองใหม่/อีกครั้ง/ภายหลัง/กลับ",
+        "again/try/retry/retry after/reload/refresh/later/go back/return/home/homepage/home page/back/contact/administrator/webmaster/support/check/settings/restart/seconds/minutes/moment/shortly/wait/hold on/patience/client/click/press/technical team/notified/aware/working on it/fix",
+        "später/erneut/nochmals/noch einmal/versuchen/versuchen sie/zurück/startseite/neu/laden sie/kehren/réessay*/plus tard/reconnect*/connect*/retour*/revenez/accueil/recharg*/ultérieurement/intent*/inténtelo/inténtalo/más tarde/de nuevo/volver/vuelva/vuelve/inicio/recarg*/actualice/riprov*/più tardi/di nuovo/torna*/ricaric*/tent*/novamente/mais tarde/volte/voltar/início/recarregue/inicie/faça",
+        "probeer/opnieuw/later/terug/startpagina/meld/aan/laad/spróbuj*/ponownie/później/wróć/odśwież*/försök/igen/senare/tillbaka/ladda om/startsidan/tekrar/deneyin/sonra/giriş/dönün/yenileyin/lütfen/thử lại/sau",
+        "попробу*/позже/снова/еще раз/ещё раз/вернитесь/вернуться/главн*/обновите/повторите/перезагруз*/спробуйте/δοκιμάστε/ξανά/αργότερα/επιστρ*/πάλι/ανανεώστε/կրկին/փորձ*/ավելի ուշ/վերադ*/թարմաց*/נסה/שוב",
+        "حاول/المحاولة/يرجى المحاولة/لاحقا/لاحقًا/لاحقاً/مرة أخرى/العودة/عد/الرئيسية/تحديث/पुनः/फिर/दोबारा/प्रयास/कोशिश/बाद/लौट*/वापस/रीलोड/እንደገና/ቆይተው/ይሞክሩ/ተመለስ",
+        "もう一度/再度/後ほど/しばらく/再読み込み/戻/ホーム/トップ/お試し/重试/重試/再试/稍后/稍後/刷新/重新/返回/首页/首頁/再次/尝试/다시/나중/시도/돌아가/홈/새로고침/잠시/ลองใหม่/อีกครั้ง/ภายหลัง/กลับ",
+    ],
+    # making oneself known
+    "login": [
+        "sign in/log in/login/log back in/sign-in/log-in/signed in/logged in/anmelden/melden sie sich an/melden sie/einloggen/eingeloggt/connectez vous/se connecter/identifiez vous/iniciar sesión/inicie sesión/inicia sesión/accedi/acced*/effettua il login/inicie sessão/iniciar sessão/inicie a sessão/faça login/entre na sua conta/meld u aan/meld je aan/inloggen/zaloguj*/zalogować/logga in/kirjaudu/giriş yapın/oturum açın/đăng nhập",
+        "войдите/войти/авториз*/увійдіть/συνδεθείτε/συνδεθ*/մուտք գործ*/התחבר*/تسجيل الدخول/سجل الدخول/سجّل الدخول/लॉग इन/लॉगिन/ይግቡ",
+        "ログイン/サインイン/登录/登錄/登入/로그인/เข้าสู่ระบบ",
     ],
     # something is yet to come
     "waiting": [
@@ -148,7 +160,7 @@ _W: dict[str, list[str]] = {
     "here": ["here/your/hier/ici/votre/aquí/aqui/su/sua/qui/tuo/hier in/uw/tutaj/twój/här/din/ditt/buraya/здесь/сюда/тут/ваш/εδώ/այստեղ/هنا/यहाँ/यहां/እዚህ/ここ/此处/此處/在此/这里/這裡/여기/ที่นี่"],
 }
 #: Nouns of the web that make a line worth a look.
-WEB = "page/webpage/website/site/web site/url/link/server/request/webseite/seite/seiten/adresse/inhalt/página/páginas/sitio/enlace/solicitud/pagina/sito/richiesta/pedido/strona/strony/żądan*/sida/sidan/begäran/sayfa/sayfası/страниц*/сайт*/ссылк*/запрос*/сервер*/σελίδα/σελίδας/ιστοσελίδα/αίτημα/πρόσβαση/էջ/էջը/կայք*/الصفحة/صفحة/الموقع/الرابط/الطلب/पृष्ठ/पेज/साइट/वेबसाइट/अनुरोध/ገጽ*/ገጹ/ページ/サイト/サーバー/リクエスト/页面/頁面/网页/網頁/网站/網站/请求/페이지/사이트/요청/captcha/text/titel/texte/titre/texto/título/testo/titolo/tekst/текст/κείμενο/տեքստ*/النص/पाठ/テキスト/本文/文本".split("/")
+WEB = "account/konto/compte/cuenta/conto/file/datei/fichier/archivo/plik/файл/documento/dokument/document/документ/сторінк*/文档/문서/文書/服务器/サーバ/서버/الخادم/सर्वर/διακομιστής/sunucu/servern/serwer/servidor/serveur/search/page/webpage/website/site/web site/url/link/server/request/webseite/seite/seiten/adresse/inhalt/página/páginas/sitio/enlace/solicitud/pagina/sito/richiesta/pedido/strona/strony/żądan*/sida/sidan/begäran/sayfa/sayfası/страниц*/сайт*/ссылк*/запрос*/сервер*/σελίδα/σελίδας/ιστοσελίδα/αίτημα/πρόσβαση/էջ/էջը/կայք*/الصفحة/صفحة/الموقع/الرابط/الطلب/पृष्ठ/पेज/साइट/वेबसाइट/अनुरोध/ገጽ*/ገጹ/ページ/サイト/サーバー/リクエスト/页面/頁面/网页/網頁/网站/網站/请求/페이지/사이트/요청/captcha/text/titel/texte/titre/texto/título/testo/titolo/tekst/текст/κείμενο/տեքստ*/النص/पाठ/テキスト/本文/文本".split("/")
 TERMS: dict[str, list[str]] = {k: sorted({w for line in v for w in line.split("/") if w}) for k, v in _W.items()}
 #: Words that say nothing of what a line is about.
 NEUTRAL: list[str] = sorted(

@@ -66,7 +66,7 @@ STATUS = "(?:http/\\d(?:\\.\\d)?\\s+)?[45]\\d\\d"
 PROGRAM = "(?m)^\\s{0,8}(?:traceback \\(most recent call last\\)|file \"[^\"\n]+\", line \\d+|at [\\p{L}\\p{N}_$.<>]+\\([^()\n]*:\\d+\\)|(?:uncaught |unhandled )?(?:[\\p{L}_]+[.:])*[\\p{L}_]*(?:error|exception): \\S|exception in thread )| in /?\\S{1,200} on line \\d+[.\\s]*$"
 
 #: Ideas of which one must be there for a line to be looked at; the others only say what the line is about.
-LEADING = frozenset({"script", "human", "failure", "refusal", "absence", "offer", "waiting", "verb", "stand_in_for", "code"})
+LEADING = frozenset({"script", "human", "failure", "refusal", "absence", "offer", "waiting", "verb", "stand_in_for", "login", "code"})
 #: Scripts that put no spaces between words.
 _D = "฀-๿぀-ヿ㐀-鿿가-힣"
 _DENSE = regex.compile(f"[{_D}]+")
@@ -210,8 +210,9 @@ def line_kind(line: str) -> str | None:
         return None
     covered, different, alone = 5 * n / (5 * n + rest), len(has), rest == 0
     h = has.__contains__
-    notice = h("script") and (h("need") or h("negation") or h("human") or h("refusal")) or h("human") and (h("need") or h("place") or h("remedy") or h("negation") or h("finding") or has["human"] > 1)
-    lost = h("negation") and h("place") and (h("finding") or h("offer") or h("remedy") or h("refusal")) or h("absence") and (h("place") or h("remedy") or h("failure") or h("code") or alone)
+    again = h("remedy") or h("login")
+    notice = h("script") and (h("need") or h("negation") or h("human") or h("refusal")) or h("human") and (h("need") or h("place") or again or h("negation") or h("finding") or has["human"] > 1)
+    lost = h("negation") and h("place") and (h("finding") or h("offer") or again or h("refusal")) or h("absence") and (h("place") or again or h("failure") or h("code") or alone)
     failed = (h("failure") or h("refusal") or h("code")) and different >= 2
     stand_in = h("waiting") and (h("place") or h("noun") or h("remedy") or alone) or h("negation") and h("noun") and h("offer")
     filler = h("stand_in_for") and (h("noun") or h("place") or alone) or (h("noun") or h("place")) and h("verb") and (h("here") or alone) or h("verb") and h("here") and alone
@@ -219,6 +220,8 @@ def line_kind(line: str) -> str | None:
         return "notice"
     if covered >= 0.65 and (lost or failed):
         return "error"
+    if covered >= 0.8 and h("login") and (h("place") or h("need")):
+        return "notice"
     if covered >= 0.8 and filler:
         return "filler"
     if covered >= 0.65 and stand_in:
