@@ -18,13 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; set one only where none is named and all runs in one
-    process (tests, laptops). On a cluster that names none this is an error, as no machine sees another's folders."""
+    """Use the folder the cluster names in ``spark.checkpoint.dir``; set one only where none is named and all runs on one
+    machine (tests, laptops). On a cluster that names none this is an error, as no machine sees another's folders."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            if not sc.master.startswith("local"):
                 raise RuntimeError("Name a folder that all executors share in spark.checkpoint.dir")
             named = tempfile.mkdtemp(prefix="quireframe-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
