@@ -350,3 +350,26 @@ def interruptions(spark: SparkSession, d: str) -> DataFrame:
     tables = im.annotate(_books(spark, _TAGGED))
     words = lambda c: F.array_join(F.transform(c, lambda t: t["ttype"]), " ")
     return su.listing(tables["token"], tables["text_region"], [503, 504], 1).select("start", words("left").alias("left_words"), words("node").alias("node"), words("right").alias("right_words"))
+
+
+@stated("shown VARCHAR", [("M\nB\n\nx [31m“Yes, indeed,”[0m y",)])
+def region_preview_text(spark: SparkSession, d: str) -> DataFrame:
+    """A text tagged and shown with its speech coloured, without the terminal's control characters."""
+    return spark.createDataFrame([(api.region_preview("M\nB\n\nx “Yes, indeed,” y", ["quote.quote"]).replace(chr(27), ""),)], "shown string")
+
+
+@stated("step VARCHAR, noted INT, same BOOLEAN, rows BIGINT", [("first", 1, False, 1), ("again", 1, True, 1), ("other", 2, False, 0), ("warmed", 4, False, 1)])
+def session_memory(spark: SparkSession, d: str) -> DataFrame:
+    """A reader's session: what is asked is noted with its plan, the last answer is given again, requests are kept warm."""
+    tables = im.annotate(_books(spark, _TAGGED))
+    tables["corpus"] = spark.createDataFrame([(1, "one", "One", None, 0)], "corpus_id int, name string, title string, carousel_image binary, ordering int")
+    tables["corpus_book"] = spark.createDataFrame([(1, 1)], "corpus_id int, book_id long")
+    session = api.Session(api.Corpus(tables))
+    rows, last = [], None
+    for step, words in (("first", "old tower"), ("again", "old tower"), ("other", "new tower")):
+        answer = session.ask("concordance", [words], ["corpus:one"])
+        rows.append((step, len(session.noted), answer is last, answer.data.count()))
+        last = answer
+    counts = session.warm([("count", {"corpora": [1]}), ("corpora", {})])
+    rows.append(("warmed", len(session.noted), False, counts[0]))
+    return spark.createDataFrame(rows, "step string, noted int, same boolean, rows long")
