@@ -22,6 +22,8 @@ def value_frequencies(df: DataFrame, value: str, record: str, position: str | No
     that two bytes tell a place), so no task holds more positions of a value than one block has; what lies in later
     blocks takes a shuffle of its own, of those rows alone.
     """
+    if not 0 < block <= BLOCK:
+        raise ValueError(f"A block has 1 to {BLOCK} positions")
     kind = df.schema[record].dataType
     of = F.col(record) if isinstance(kind, (NumericType, StringType)) else F.col(record).cast("string")
     # A null record is told by a flag, so that records can be joined on.

@@ -296,7 +296,7 @@ def residue(df: DataFrame, doc: str, text: str, host: str | None = None, address
     stand on two hosts and under two titles at least and outweigh its own words, a line on two hosts or under two
     titles, with the more weight the more of the text it is.
 
-    Null and blank texts are no cases; a null host counts as none; repeated rows give one row; an empty table gives no
+    ``doc`` must be an integer column. Null and blank texts are no cases; a null host counts as none; repeated rows give one row; an empty table gives no
     rows; other columns are ignored. Texts are scanned once; of each text only hashes and numbers are written to the
     shared folder and shuffled. Nothing is limited in length or number.
     """

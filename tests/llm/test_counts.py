@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quireframe.llm.frequency import mark_extremes, value_frequencies
 from quireframe.llm.heavy import heavy_hitters, merge, summarise
@@ -70,3 +71,15 @@ def test_frequency_edges(spark, rows):
     df = spark.createDataFrame([(None, 1, "a"), (None, 1, "a"), (1, None, "a"), (1, 2, None), (1, 3, "á"), (1, 3, "b")], "book long, pos int, w string")
     assert rows(value_frequencies(df, "w", "book", "pos")) == [("a", 2, 2), ("b", 1, 1), ("á", 1, 1)]
     assert rows(value_frequencies(df.limit(0), "w", "book", "pos")) == []
+
+
+def test_blocks_and_null_records(spark):
+    """Positions in several blocks, before 0 and null; records that are null or no numbers."""
+    data = [("a", r, p) for r in (None, "x", "y") for p in (0, 5, 5, 40_000, 40_000, 99_999, -3, None, None)] + [(None, "x", 7)]
+    df = spark.createDataFrame(data, "w string, book string, pos int").repartition(7)
+    for block in (1 << 15, 1000, 7):
+        assert [tuple(r) for r in value_frequencies(df, "w", "book", "pos", block).collect()] == [("a", 18, 3)]
+    dated = df.withColumn("book", F.when(F.col("book") == "x", F.current_date()))
+    assert [tuple(r) for r in value_frequencies(dated, "w", "book", "pos").collect()] == [("a", 12, 2)]
+    with pytest.raises(ValueError):
+        value_frequencies(df, "w", "book", "pos", 1 << 16)
