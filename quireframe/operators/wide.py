@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quireframe.session import ensure_checkpoint_dir
+from quireframe.session import ensure_checkpoint_dir, parallelism
 
 
 class Attribute(NamedTuple):
@@ -54,8 +54,8 @@ def to_wide(df: DataFrame, entity: str, attribute: str, value: str, loaded: str,
     path = f"{spark.sparkContext.getCheckpointDir()}/wide-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    # Small sets share a task, one that holds a third of all entities is divided over several.
-    dense.hint("rebalance", "sig").write.partitionBy("n", "sig").parquet(path)
+    # By range, small sets share a task and one that holds a third of all entities is divided over several.
+    dense.repartitionByRange(parallelism(spark), "n", "sig", "e").write.partitionBy("n", "sig").parquet(path)
     stored = spark.read.schema(dense.schema).parquet(path)
 
     def layout(n: int) -> DataFrame:
