@@ -92,11 +92,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_item"), "doc_id", "text", "item_id", "text")
 
 
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the items of which they hold a passage, unbroken or edited: least edits, longest run seen."""
+    return leaks.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_item"), "doc_id", "text", "item_id", "text")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents"), "doc_id", "text", host="source").select("doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_letters, p3_found, p3_counts, p5_found, p5_contents, p6_found, p6_frequencies, p7_found, p7_fill, p7_containers, p8_found, p9_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_letters, p3_found, p3_counts, p5_found, p5_contents, p6_found, p6_frequencies, p7_found, p7_fill, p7_containers, p8_found, p8_passages, p9_found)}
 
 _P3 = f"""
 WITH c AS (SELECT ttype, count(*) AS n FROM token WHERE ttype IS NOT NULL GROUP BY ttype)

@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from quireframe.llm.leaks import Walk, _distance, for_recall, keys, leaked_items, leaks, reduced
+import __spark_entry__ as entry
+from quireframe.llm.leaks import Walk, _distance, _distances, edited, for_recall, keys, leaked_items, leaks, passages, reduced
 
 D, I = "doc_id long, text string, item long, at int", "item_id long, text string, id long"
 
@@ -117,3 +118,65 @@ def test_the_same_passage_everywhere(spark):
     docs = [(d, "abc" + boiler + "xyz") for d in range(200)] + [(500, "x" * 20_000)]
     got = leaked_items(spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame(items, "i long, t string"), "d", "t", "i", "t").collect()
     assert sorted(map(tuple, got)) == sorted([*((d, i) for d in range(200) for i in range(40)), (500, 99)])
+
+
+@pytest.mark.parametrize("run", [1, 12, 20, 39, 40, 41, 100])
+def test_runs_of_any_length(spark, rows, run):
+    """A run shorter than a window of 40 is found as well as a longer one."""
+    r = random.Random(run)
+    letters = "abcd" if run < 40 else "abcdefghiklmnoprstuvwy"
+    items = [(i, words(r, 40 if run > 1 else 1, letters if run > 1 else "abcdefghijklmnopqrstuvwxyz"[i])) for i in range(12)]
+    docs = []
+    for d in range(60):
+        t = text_of(reduced(items[d % 12][1]))
+        a = r.randrange(0, max(1, len(t) - run))
+        docs.append((d, words(r, r.randrange(0, 30), "efgh") + t[a : a + run + r.choice([-1, 0, 1])] + words(r, r.randrange(0, 30), "efgh")))
+    got = rows(leaked_items(spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame(items, "i long, t string"), "d", "t", "i", "t", run))
+    assert got == brute(docs, items, run) and len(got) >= 30
+
+
+def test_runs_have_letters(spark):
+    none = spark.createDataFrame([], "d long, t string")
+    with pytest.raises(ValueError):
+        leaked_items(none, none, "d", "t", "d", "t", 0)
+
+
+def test_edited_passages_of_documents(spark, tmp_path):
+    """The query's own parameters: passages with a letter changed in ten come out beside unbroken ones, each with its item."""
+    r = random.Random(21)
+    items = [(i, text_of(reduced(words(r, 60)))[:220]) for i in range(200)]
+    docs = [(i, words(r, 20) + "".join("9" if k % 10 == i % 10 else c for k, c in enumerate(t[50:150])) + words(r, 20)) for i, t in items]
+    docs += [(1000 + i, words(r, 20) + t[30:110] + words(r, 20)) for i, t in items[:20]] + [(2000, words(r, 300)), (2001, None), (2002, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*items, (900, None), (901, "short")], "item_id long, text string").write.parquet(f"{tmp_path}/heldout_item.parquet")
+    got = {(p["doc_id"], p["item_id"]): (p["edits"], p["run"]) for p in entry.queries()["p8_passages"](spark, str(tmp_path)).collect()}
+    assert all(d % 1000 == i for d, i in got)
+    assert sum(d < 1000 for d, _ in got) >= 0.9 * len(items)
+    assert all(1 <= e <= 4 and n < 60 for (d, _), (e, n) in got.items() if d < 1000)
+    whole = {p for p, (e, n) in got.items() if n >= 60}
+    assert whole == {(1000 + i, i) for i in range(20)} == {tuple(p) for p in entry.queries()["p8_found"](spark, str(tmp_path)).collect()}
+    assert all(got[p][0] == 0 for p in whole)
+
+
+@pytest.mark.parametrize("moved", [False, True, None])
+def test_recall_of_windows_the_walk_has_not_seen(moved):
+    """Letters changed, letters lost or added as well, and (None) every tenth letter changed: the samples that are taken hold for windows of another seed."""
+    walk = for_recall(Walk(steps=72, sample=12), 4, 0.9)
+    rng = np.random.default_rng(77)
+    a = rng.integers(97, 123, (2000, 40)).astype(np.uint32)
+    b = np.array([edited(x, 4, rng, moved) for x in a]) if moved is not None else np.where(np.arange(40) % 10 == np.arange(2000)[:, None] % 10, 48, a).astype(np.uint32)
+    at = np.arange(2000) * 40
+    assert (keys(a.ravel(), at, walk) == keys(b.ravel(), at, walk)).any(axis=0).mean() >= 0.88
+
+
+def test_distances_of_many():
+    rng = np.random.default_rng(5)
+    for size, most in ((40, 4), (12, 1), (5, 0), (3, 4)):
+        x = rng.integers(97, 100, (300, size)).astype(np.uint32)
+        y = np.array([edited(row, int(rng.integers(0, 7)), rng) for row in x])
+        assert _distances(x, y, most).tolist() == [_distance(text_of(p), text_of(q), most) for p, q in zip(x, y, strict=True)]
+
+
+def test_passages_of_empty_tables(spark):
+    none, some = spark.createDataFrame([], "d long, t string"), spark.createDataFrame([(1, "abc" * 40)], "d long, t string")
+    assert passages(none, some.toDF("i", "t"), "d", "t", "i", "t").count() == passages(some, none.toDF("i", "t"), "d", "t", "i", "t").count() == 0
